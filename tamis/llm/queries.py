@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tamis.llm.encode import encode_corpus
+from tamis.llm.leaks import find_leaks, remove_leaks
 from tamis.session import table
 
 
@@ -10,5 +11,17 @@ def p7_ids(spark, d):
     return encode_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids}
+def p8_found(spark, d):
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p8_leaks(spark, d):
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "item_eval"))
+
+
+def p8_clean(spark, d):
+    return remove_leaks(table(spark, d, "documents"), table(spark, d, "item_eval"))
+
+
+QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p8_leaks, p8_clean)}
 SQL: dict[str, str] = {}
