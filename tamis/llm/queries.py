@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tamis.llm.encode import encode_corpus
 from tamis.llm.leaks import find_leaks, remove_leaks
+from tamis.llm.pieces import split_oversized
 from tamis.session import table
 
 
@@ -23,5 +26,13 @@ def p8_clean(spark, d):
     return remove_leaks(table(spark, d, "documents"), table(spark, d, "item_eval"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p8_leaks, p8_clean)}
+def p9_pieces(spark, d):
+    return split_oversized(table(spark, d, "documents"))
+
+
+def p9_found(spark, d):
+    return p9_pieces(spark, d).filter(F.col("n_pieces") > 1).select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p8_leaks, p8_clean, p9_pieces, p9_found)}
 SQL: dict[str, str] = {}
