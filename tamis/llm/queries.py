@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tamis.llm.encode import encode_corpus
+from tamis.llm.groups import consolidate
 from tamis.llm.leaks import find_leaks, remove_leaks
 from tamis.llm.pieces import split_oversized
 from tamis.session import table
 
 
+def p3_found(spark, d):
+    pairs = table(spark, d, "lien_dossier")
+    return consolidate(pairs, "dossier_id_a", "dossier_id_b").select(F.col("v").alias("dossier_id"), F.col("r").alias("groupe_id"))
+
+
 def p7_ids(spark, d):
     return encode_corpus(table(spark, d, "documents"))
 
@@ -34,5 +40,13 @@ def p9_found(spark, d):
     return p9_pieces(spark, d).filter(F.col("n_pieces") > 1).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p8_leaks, p8_clean, p9_pieces, p9_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p7_ids, p8_found, p8_leaks, p8_clean, p9_pieces, p9_found)}
 SQL: dict[str, str] = {}
+
+SQL["p3_found"] = """
+WITH RECURSIVE e AS (
+  SELECT dossier_id_a AS a, dossier_id_b AS b FROM lien_dossier WHERE dossier_id_a <> dossier_id_b
+  UNION SELECT dossier_id_b, dossier_id_a FROM lien_dossier WHERE dossier_id_a <> dossier_id_b),
+reach(v, r) AS (SELECT a, a FROM e UNION SELECT e.b, reach.r FROM reach JOIN e ON reach.v = e.a)
+SELECT v AS dossier_id, min(r) AS groupe_id FROM reach GROUP BY v
+"""
