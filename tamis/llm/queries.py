@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tamis.llm.encode import encode_corpus
 from tamis.llm.groups import consolidate
 from tamis.llm.leaks import find_leaks, remove_leaks
+from tamis.llm.lists import UNMATCHED, map_to_list
 from tamis.llm.pieces import split_oversized
 from tamis.session import table
 
@@ -16,6 +17,24 @@ def p3_found(spark, d):
     return consolidate(pairs, "dossier_id_a", "dossier_id_b").select(F.col("v").alias("dossier_id"), F.col("r").alias("groupe_id"))
 
 
+def _fields(spark, d, *sources):
+    return table(spark, d, "champ").filter(F.col("nom_source").isin(*sources))
+
+
+def p5_mapped(spark, d):
+    found = map_to_list(_fields(spark, d, "banque", "poste"), table(spark, d, "ref_liste"))
+    return found.select(F.col("row_id").alias("champ_id"), F.col("kind").alias("nom_source"), F.col("value").alias("valeur"), F.col("code").alias("ref_code"), F.round("score", 4).alias("score"))
+
+
+def p5_found(spark, d):
+    return p5_mapped(spark, d).select("champ_id", "ref_code").distinct()
+
+
+def p5_unmatched(spark, d):
+    rows = p5_mapped(spark, d).filter(F.col("ref_code") == UNMATCHED).select("champ_id", "nom_source", "valeur").distinct()
+    return rows.groupBy("nom_source", "valeur").agg(F.count("*").alias("nb"))
+
+
 def p7_ids(spark, d):
     return encode_corpus(table(spark, d, "documents"))
 
@@ -40,7 +59,7 @@ def p9_found(spark, d):
     return p9_pieces(spark, d).filter(F.col("n_pieces") > 1).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p7_ids, p8_found, p8_leaks, p8_clean, p9_pieces, p9_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_mapped, p5_unmatched, p7_ids, p8_found, p8_leaks, p8_clean, p9_pieces, p9_found)}
 SQL: dict[str, str] = {}
 
 SQL["p3_found"] = """
