@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tamis.llm.addresses import address_classes, class_pairs
 from tamis.llm.encode import encode_corpus
 from tamis.llm.groups import consolidate
 from tamis.llm.leaks import find_leaks, remove_leaks
 from tamis.llm.lists import UNMATCHED, map_to_list
 from tamis.llm.pieces import split_oversized
-from tamis.session import table
+from tamis.session import durable, table
 
 
 def p3_found(spark, d):
@@ -21,6 +22,15 @@ def _fields(spark, d, *sources):
     return table(spark, d, "champ").filter(F.col("nom_source").isin(*sources))
 
 
+def p4_places(spark, d):
+    return address_classes(_fields(spark, d, "adresse")).select(F.col("value").alias("adresse"), "place_id")
+
+
+def p4_found(spark, d):
+    classes = durable(address_classes(_fields(spark, d, "adresse")))
+    return class_pairs(classes, "place_id").select(F.col("value_a").alias("adresse_a"), F.col("value_b").alias("adresse_b"))
+
+
 def p5_mapped(spark, d):
     found = map_to_list(_fields(spark, d, "banque", "poste"), table(spark, d, "ref_liste"))
     return found.select(F.col("row_id").alias("champ_id"), F.col("kind").alias("nom_source"), F.col("value").alias("valeur"), F.col("code").alias("ref_code"), F.round("score", 4).alias("score"))
@@ -59,7 +69,7 @@ def p9_found(spark, d):
     return p9_pieces(spark, d).filter(F.col("n_pieces") > 1).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_mapped, p5_unmatched, p7_ids, p8_found, p8_leaks, p8_clean, p9_pieces, p9_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_places, p5_found, p5_mapped, p5_unmatched, p7_ids, p8_found, p8_leaks, p8_clean, p9_pieces, p9_found)}
 SQL: dict[str, str] = {}
 
 SQL["p3_found"] = """
