@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tamis.llm.addresses import address_classes, class_pairs
 from tamis.llm.encode import encode_corpus
+from tamis.llm.entities import COMPANY, PERSON, link_names
 from tamis.llm.groups import consolidate
 from tamis.llm.leaks import find_leaks, remove_leaks
 from tamis.llm.lists import UNMATCHED, map_to_list
@@ -13,6 +14,20 @@ from tamis.llm.pieces import split_oversized
 from tamis.session import durable, table
 
 
+def _entities(spark, d):
+    names = _fields(spark, d, "titulaire", "nom_abonne", "employeur").select(F.when(F.col("nom_source") == "employeur", COMPANY).otherwise(PERSON).alias("famille"), "valeur")
+    return link_names(names, _fields(spark, d, "prenom", "prenom_employe"))
+
+
+def p1_entities(spark, d):
+    return _entities(spark, d).select("famille", F.col("value").alias("valeur"), "entity_id")
+
+
+def p1_found(spark, d):
+    pairs = class_pairs(durable(_entities(spark, d)), "entity_id", keep=["famille"])
+    return pairs.select("famille", F.col("value_a").alias("valeur_a"), F.col("value_b").alias("valeur_b"))
+
+
 def p3_found(spark, d):
     pairs = table(spark, d, "lien_dossier")
     return consolidate(pairs, "dossier_id_a", "dossier_id_b").select(F.col("v").alias("dossier_id"), F.col("r").alias("groupe_id"))
@@ -69,7 +84,7 @@ def p9_found(spark, d):
     return p9_pieces(spark, d).filter(F.col("n_pieces") > 1).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_places, p5_found, p5_mapped, p5_unmatched, p7_ids, p8_found, p8_leaks, p8_clean, p9_pieces, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p3_found, p4_found, p4_places, p5_found, p5_mapped, p5_unmatched, p7_ids, p8_found, p8_leaks, p8_clean, p9_pieces, p9_found)}
 SQL: dict[str, str] = {}
 
 SQL["p3_found"] = """
