@@ -52,6 +52,9 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def schema_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so extra columns with clashing names never reach a join."""
-    return df.select(*names)
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df over all cores by the hash of its columns, for stages that cost much time a row: adaptive execution goes by bytes and
+    would give few tasks to small rows."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *columns)
