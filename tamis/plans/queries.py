@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tamis.operators import orphans as O
 from tamis.operators import shred as S
+from tamis.plans import dossier, generic
 from tamis.session import table
 
 
@@ -48,8 +49,8 @@ def p6_report(spark, d):
     return O.orphan_report(p6_found(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_documents, p2_fields, p2_transactions, p6_found, p6_report)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_found, p2_documents, p2_fields, p2_transactions, p6_found, p6_report)} | dossier.QUERIES | generic.QUERIES
+SQL: dict[str, str] = dossier.SQL | generic.SQL
 
 _P6 = """
 WITH refs AS (
