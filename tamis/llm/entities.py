@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tamis.llm.groups import consolidate
 from tamis.llm.lists import Trie, shortens
 from tamis.llm.names import fold, letters
-from tamis.session import durable
+from tamis.session import durable, spread
 
 PERSON, COMPANY = "personne", "employeur"
 #: Given names kept of the corpus, the most frequent first; the bound of the broadcast lexicon.
@@ -285,7 +285,7 @@ def link_names(names: DataFrame, givens: DataFrame, famille: str = "famille", va
     counted = givens.filter(F.col(given).rlike(r"\p{L}{2}")).groupBy(F.lower(F.col(given)).alias("g")).count().orderBy(F.desc("count"), "g").limit(LEXICON).collect()
     lexicon = tuple(sorted({" ".join(re.findall(r"[^\W\d_]+", fold(r.g))) for r in counted} - {""}))
     shared = spark.sparkContext.broadcast(lexicon)
-    read = durable(rows.mapInArrow(_read(shared), _READ))
+    read = durable(spread(rows, "value").mapInArrow(_read(shared), _READ))
 
     # entities: full names, each root following the best supported one that it resembles under the same facet
     full = F.size("facets") == 1
