@@ -13,17 +13,13 @@ def _number(c: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) < 1e300), value)
 
 
-def _last(c: Column, sign: str) -> Column:
-    return F.length(c) - F.coalesce(F.nullif(F.locate(sign, F.reverse(c)), F.lit(0)), F.length(c) + 1)
+def _both(k: Column) -> Column:
+    return k.contains(",") & k.contains(".")
 
 
-def _count(c: Column, sign: str) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit(sign), F.lit("")))
-
-
-def _last_is_decimal(c: Column) -> Column:
+def _last_is_decimal(k: Column) -> Column:
     """With both signs, the one that comes last is the decimal sign."""
-    return F.when(_last(c, ",") > _last(c, "."), F.replace(F.replace(c, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(c, F.lit(","), F.lit("")))
+    return F.when(k.rlike(r",[^.,]*$"), F.replace(F.replace(k, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(k, F.lit(","), F.lit("")))
 
 
 def _kept(c: Column) -> Column:
@@ -31,20 +27,19 @@ def _kept(c: Column) -> Column:
 
 
 def amount(c: Column, decimals: tuple[int, int] = (2, 2)) -> Column:
-    """An amount with currency words. A lone comma is decimal if `decimals` (least, most) digits follow the last one, else it
+    """An amount with currency words. A lone comma is decimal if `decimals` (least, most) signs follow it, else it
     groups thousands; of several dots the last is decimal. Rounded to 2; null where it isn't a number."""
     k = _kept(c)
-    after = F.length(k) - _last(k, ",") - 1
-    comma = F.when((_count(k, ",") == 1) & after.between(*decimals), F.replace(k, F.lit(","), F.lit("."))).otherwise(F.replace(k, F.lit(","), F.lit("")))
-    dots = F.concat(F.replace(F.substring_index(k, ".", 1), F.lit("."), F.lit("")), F.replace(F.substring(k, F.length(F.substring_index(k, ".", 1)) + F.lit(1), F.length(k) - F.length(F.substring_index(k, ".", -1)) - F.length(F.substring_index(k, ".", 1)) - 1), F.lit("."), F.lit("")), F.lit("."), F.substring_index(k, ".", -1))
-    plain = F.when((_count(k, ",") > 0) & (_count(k, ".") > 0), _last_is_decimal(k)).when(_count(k, ",") > 0, comma).when(_count(k, ".") > 1, dots).otherwise(k)
+    lone = k.rlike(rf"^[^,]*,[^,]{{{decimals[0]},{decimals[1]}}}$")
+    comma = F.when(lone, F.replace(k, F.lit(","), F.lit("."))).otherwise(F.replace(k, F.lit(","), F.lit("")))
+    plain = F.when(_both(k), _last_is_decimal(k)).when(k.contains(","), comma).otherwise(F.regexp_replace(k, r"\.(?=.*\.)", ""))
     return F.round(_number(plain), 2)
 
 
 def amount_comma_decimal(c: Column) -> Column:
     """An amount whose comma is always decimal; finite numbers only."""
     k = _kept(c)
-    return _number(F.when((_count(k, ",") > 0) & (_count(k, ".") > 0), _last_is_decimal(k)).otherwise(F.replace(k, F.lit(","), F.lit("."))))
+    return _number(F.when(_both(k), _last_is_decimal(k)).otherwise(F.replace(k, F.lit(","), F.lit("."))))
 
 
 def amount_short_decimal(c: Column) -> Column:
