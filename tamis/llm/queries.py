@@ -94,3 +94,6 @@ WITH RECURSIVE e AS (
 reach(v, r) AS (SELECT a, a FROM e UNION SELECT e.b, reach.r FROM reach JOIN e ON reach.v = e.a)
 SELECT v AS dossier_id, min(r) AS groupe_id FROM reach GROUP BY v
 """
+
+_RUNS = "SELECT {0}, unnest(CASE WHEN len(w) >= 12 THEN list_transform(range(1, len(w) - 10), lambda i: list_aggregate(w[i:i + 11], 'string_agg', ' ')) ELSE CAST([] AS VARCHAR[]) END) AS run FROM (SELECT {0}, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+') AS w FROM {1} WHERE text IS NOT NULL)"
+SQL["p8_found"] = "WITH i AS (" + _RUNS.format("item_id", "item_eval") + "), d AS (" + _RUNS.format("doc_id", "documents") + ") SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)"
