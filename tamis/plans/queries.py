@@ -71,3 +71,18 @@ found AS (
 """
 SQL["p6_found"] = _P6 + "SELECT * FROM found WHERE motif IS NOT NULL"
 SQL["p6_report"] = _P6 + "SELECT table_nom, colonne, motif, periode, count(*) AS nb FROM found WHERE motif IS NOT NULL GROUP BY ALL"
+
+_LIST = "CASE json_type({0}, '$.{1}') WHEN 'ARRAY' THEN json_extract({0}, '$.{1}[*]') WHEN 'OBJECT' THEN [json_extract({0}, '$.{1}')] ELSE CAST([] AS JSON[]) END"
+_TX = "CASE WHEN coalesce(json_type(o, '$.normalized_value'), 'NULL') <> 'NULL' THEN " + _LIST.format("o", "normalized_value") + " ELSE " + _LIST.format("o", "raw_value") + " END"
+SQL["p2_found"] = (
+    "WITH d AS (SELECT raw_id, CAST(payload AS JSON) AS o FROM dossier_brut WHERE json_valid(payload)), "
+    "dl AS (SELECT raw_id, " + _LIST.format("o", "documents") + " AS l FROM d WHERE json_type(o) = 'OBJECT'), "
+    "docs AS (SELECT * FROM (SELECT raw_id, unnest(l) AS o, generate_subscripts(l, 1) AS dp FROM dl) WHERE json_type(o) = 'OBJECT'), "
+    "fl AS (SELECT raw_id, dp, " + _LIST.format("o", "fields") + " AS l FROM docs), "
+    "flds AS (SELECT * FROM (SELECT raw_id, dp, unnest(l) AS o, generate_subscripts(l, 1) AS fp FROM fl) WHERE json_type(o) = 'OBJECT'), "
+    "tl AS (SELECT raw_id, dp, fp, " + _TX + " AS l FROM flds WHERE json_extract_string(o, '$.field_name') = 'transactions'), "
+    "txs AS (SELECT * FROM (SELECT raw_id, dp, fp, unnest(l) AS o, generate_subscripts(l, 1) AS tp FROM tl) WHERE json_type(o) = 'OBJECT') "
+    "SELECT DISTINCT raw_id, 'document' AS niveau, CAST(dp AS INT) AS doc_pos, 0 AS field_pos, 0 AS tx_pos, coalesce(json_extract_string(o, '$.doc_id'), '') AS cle FROM docs "
+    "UNION SELECT raw_id, 'field', CAST(dp AS INT), CAST(fp AS INT), 0, coalesce(json_extract_string(o, '$.field_name'), '') FROM flds "
+    "UNION SELECT raw_id, 'transaction', CAST(dp AS INT), CAST(fp AS INT), CAST(tp AS INT), coalesce(json_extract_string(o, '$.libelle'), '') FROM txs"
+)
