@@ -7,23 +7,23 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: A page of recognised blocks, as one JSON object a file.
-PAGE = T.StructType.fromDDL(
+#: A page of recognised blocks, as one JSON object a file; and a list of classified documents.
+PAGE = (
     "dossier_id STRING, file STRING, original_path STRING, image_width INT, image_height INT, ocr_engine STRING, full_text STRING, error STRING, "
     "blocks ARRAY<STRUCT<text: STRING, x0: DOUBLE, y0: DOUBLE, x1: DOUBLE, y1: DOUBLE, score: DOUBLE>>"
 )
-MANIFEST = T.StructType.fromDDL("dossier_id STRING, documents ARRAY<STRUCT<doc_id: STRING, file: STRING, doc_type: STRING, template_id: STRING, status: STRING>>")
+MANIFEST = "dossier_id STRING, documents ARRAY<STRUCT<doc_id: STRING, file: STRING, doc_type: STRING, template_id: STRING, status: STRING>>"
 
 
-def json_objects(spark: SparkSession, path: str, schema: T.StructType, recursive: bool = True) -> tuple[DataFrame, DataFrame]:
+def json_objects(spark: SparkSession, path: str, schema: str, recursive: bool = True) -> tuple[DataFrame, DataFrame]:
     """(good, bad): the JSON objects of a folder, one a file, with source_file; and files that aren't an object of this schema."""
-    full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    df = spark.read.schema(full).option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.json").json(path)
-    df = df.withColumn("source_file", F.col("_metadata.file_path"))
-    good = df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    bad = df.filter(F.col("_corrupt_record").isNotNull()).select("source_file", F.col("_corrupt_record").alias("content"))
+    df = spark.read.option("wholetext", True).option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.json").text(path)
+    parsed = F.from_json("value", f"{schema}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"})
+    df = df.select(F.col("_metadata.file_path").alias("source_file"), "value", parsed.alias("o"))
+    fine = df["value"].rlike(r"^\s*\{") & F.col("o").isNotNull() & F.col("o._bad").isNull()
+    good = df.filter(fine).select("o.*", "source_file").drop("_bad")
+    bad = df.filter(~F.coalesce(fine, F.lit(False))).select("source_file", F.col("value").alias("content"))
     return good, bad
 
 
