@@ -18,7 +18,7 @@ MANIFEST = "dossier_id STRING, documents ARRAY<STRUCT<doc_id: STRING, file: STRI
 
 def json_objects(spark: SparkSession, path: str, schema: str, recursive: bool = True) -> tuple[DataFrame, DataFrame]:
     """(good, bad): the JSON objects of a folder, one a file, with source_file; and files that aren't an object of this schema."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.json").text(path)
+    df = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.json").text(path, wholetext=True)
     parsed = F.from_json("value", f"{schema}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"})
     df = df.select(F.col("_metadata.file_path").alias("source_file"), "value", parsed.alias("o"))
     fine = df["value"].rlike(r"^\s*\{") & F.col("o").isNotNull() & F.col("o._bad").isNull()
