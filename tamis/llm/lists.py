@@ -66,7 +66,7 @@ class Trie:
             node, row, before, last = stack.pop()
             if "" in node and row[n] <= most:
                 for t in node[""]:
-                    if found.get(t, n + most) > row[n]:
+                    if found.get(t, most + 1) > row[n]:
                         found[t] = row[n]
             for c, child in node.items():
                 if not c:
