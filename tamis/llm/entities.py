@@ -86,22 +86,28 @@ class People:
         if near := self.trie.search(token, 1 if len(token) < 6 else 2):
             least = min(near.values())
             return least, frozenset(g for w, e in near.items() if e == least for g in self.of_word[w])
+        if len(token) == 5 and (near := {w for w in self.trie.search(token, 2) if w[0] == token[0]}):
+            return 2, frozenset(g for w in near for g in self.of_word[w])
         short = {g for w, gs in self.of_word.items() if len(token) > 2 and (w.startswith(token) or shortens(token, w) >= 1) for g in gs}
         return (3, frozenset(short)) if short else (9, frozenset())
 
     def read(self, text: str) -> tuple[str, list[str], str, str, str]:
-        """(root, given names it may have, initial, '', '')."""
+        """(root, given names it may have, initial, '', particle)."""
         found = re.findall(r"[^\W_]+", fold(text))
-        initials, long = [], []
+        initials, long, particle = [], [], ""
         for k, t in enumerate(found):
             t = letters(t)
-            if t in TITLES or t in PARTICLES or (t == "m" and k == 0):
+            if t in PARTICLES:
+                particle = particle or ("el" if t == "al" else t)
+                continue
+            if t in TITLES or (t == "m" and k == 0):
                 continue
             if len(t) == 1:
                 initials.append(t)
             else:
                 long.append(t)
-        plain = [next((t[len(p) :] for p in FUSED if t.startswith(p) and len(t) - len(p) > 4), t) if self.given(t)[0] else t for t in long]
+        fused = [next((p for p in FUSED if t.startswith(p) and len(t) - len(p) > 4), "") if self.given(t)[0] else "" for t in long]
+        plain = [t[len(p) :] for t, p in zip(long, fused)]
         if not plain:
             return "", [], "", "", ""
         near = [self.given(t) for t in plain]
@@ -121,7 +127,8 @@ class People:
         givens = sorted(g for g, n in pool.items() if n == most)
         if not givens and unknown:
             givens = [" ".join(unknown)]
-        return plain[at], givens, "" if givens or not initials else initials[0], "", ""
+        particle = particle or ("el" if fused[at] == "al" else fused[at])
+        return plain[at], givens, "" if givens or not initials else initials[0], "", particle
 
 
 class Companies:
@@ -253,7 +260,7 @@ def _edits(c: Column) -> Column:
 
 
 def similar_roots(followers: DataFrame, leaders: DataFrame, on: list[str]) -> DataFrame:
-    """(on..., root, lead, edits, n, lead_n): roots within the allowed edits of each other, by the prefix filter.
+    """(on..., root, lead, edits, swapped, n, lead_n): roots within the allowed edits of each other, by the prefix filter.
 
     The q-grams' frequencies are broadcast: there are at most 38 ** 3 of them, whatever the corpus.
     """
@@ -261,16 +268,21 @@ def similar_roots(followers: DataFrame, leaders: DataFrame, on: list[str]) -> Da
     padded = F.concat(F.lit("^"), "root", F.lit("$"))
     counted = leaders.select("root").distinct().select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - Q + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(Q)))).alias("g"))
     shared = spark.sparkContext.broadcast({r.g: r.n for r in counted.groupBy("g").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(38**3).collect()})
-    keep = [*on, "root", "n"]
-    schema = ", ".join([*(f"{c} STRING" for c in on), "root STRING, n BIGINT, gram STRING, at INT"])
-    a = leaders.select(*keep).mapInArrow(_prefix(shared), schema).withColumnsRenamed({"root": "lead", "n": "lead_n", "at": "lead_at"})
+    keep = [*on, "root", "n", "particle"]
+    schema = ", ".join([*(f"{c} STRING" for c in on), "root STRING, n BIGINT, particle STRING, gram STRING, at INT"])
+    a = leaders.select(*keep).mapInArrow(_prefix(shared), schema).withColumnsRenamed({"root": "lead", "n": "lead_n", "particle": "lead_particle", "at": "lead_at"})
     b = followers.select(*keep).mapInArrow(_prefix(shared), schema)
     # a shared q-gram lies at most as many places apart as there are edits
     b = b.withColumn("lead_at", F.explode(F.sequence(F.col("at") - 2, F.col("at") + 2)))
     near = a.join(b, [*on, "gram", "lead_at"]).filter((F.abs(F.length("root") - F.length("lead")) <= 2) & (F.col("root") != F.col("lead")))
     edits = F.levenshtein("root", "lead", 2)
     near = near.withColumn("edits", edits).filter((F.col("edits") >= 0) & (F.col("edits") <= F.least(_edits(F.col("root")), _edits(F.col("lead")))))
-    return near.select(*on, "root", "lead", "edits", "n", "lead_n").distinct()
+    letters_of = lambda c: F.array_sort(F.split(c, ""))
+    swapped = (F.col("edits") == 2) & (letters_of("root") == letters_of("lead"))
+    # another particle is another name; a missing one is believed with one edit
+    same, missing = F.col("particle") == F.col("lead_particle"), (F.col("particle") == "") | (F.col("lead_particle") == "")
+    near = near.filter(same | (missing & ((F.col("edits") < 2) | swapped)))
+    return near.select(*on, "root", "lead", "edits", swapped.alias("swapped"), "n", "lead_n").distinct()
 
 
 def link_names(names: DataFrame, givens: DataFrame, famille: str = "famille", value: str = "valeur", given: str = "valeur") -> DataFrame:
@@ -289,19 +301,21 @@ def link_names(names: DataFrame, givens: DataFrame, famille: str = "famille", va
 
     # entities: full names, each root following the best supported one that it resembles under the same facet
     full = F.size("facets") == 1
-    units = read.filter(full & (F.col("root") != "")).groupBy("famille", F.element_at("facets", 1).alias("facet"), "root").agg(F.count("*").alias("n"))
+    particle = F.when(F.col("famille") == PERSON, F.mode("kind", True)).otherwise("").alias("particle")
+    units = read.filter(full & (F.col("root") != "")).groupBy("famille", F.element_at("facets", 1).alias("facet"), "root").agg(F.count("*").alias("n"), particle)
     units = durable(units)
     total = max(units.count(), 2)
     common = units.groupBy("famille", "facet").agg(F.sum("n").alias("facet_n"))
     near = similar_roots(units, units, ["famille", "facet"]).filter((F.col("lead_n") > F.col("n")) | ((F.col("lead_n") == F.col("n")) & (F.col("lead") < F.col("root"))))
-    near = near.filter((F.col("n") < ESTABLISHED) | (F.col("n") * 3 <= F.col("lead_n")))
+    # two edits other than a swap are believed of a root that occurs once only
+    near = near.filter(((F.col("n") < ESTABLISHED) | (F.col("n") * 3 <= F.col("lead_n"))) & ((F.col("edits") < 2) | F.col("swapped") | (F.col("n") == 1)))
     weight = lambda n: F.log(1 + F.lit(float(total)) / n)
     likeness = (weight(F.col("n")) * (1 - F.col("edits") / F.greatest(F.length("root"), F.length("lead"))) + weight(F.col("facet_n"))) / (weight(F.col("n")) + weight(F.col("facet_n")))
     near = near.join(common, ["famille", "facet"]).withColumn("likeness", likeness).filter(F.col("likeness") >= LEAST)
     follows = near.groupBy("famille", "facet", "root").agg(F.max_by("lead", F.struct(-F.col("edits"), "lead_n", "likeness", "lead")).alias("lead"))
     vertex = lambda root: F.concat_ws("|", "famille", "facet", root)
     classes = consolidate(follows.select(vertex("root").alias("a"), vertex("lead").alias("b")))
-    entities = units.withColumn("v", vertex("root")).join(classes, "v", "left").select("famille", "facet", "root", "n", F.coalesce("r", "v").alias("entity"))
+    entities = units.withColumn("v", vertex("root")).join(classes, "v", "left").select("famille", "facet", "root", "n", "particle", F.coalesce("r", "v").alias("entity"))
     entities = durable(entities)
     done = read.filter(full & (F.col("root") != "")).withColumn("facet", F.element_at("facets", 1)).join(entities, ["famille", "facet", "root"]).select("famille", "value", "entity", "legal", "kind")
     traits = done.groupBy("entity").agg(F.mode(F.when(F.col("legal") != "", F.col("legal")), True).alias("own_legal"), F.mode(F.when(F.col("kind") != "", F.col("kind")), True).alias("own_kind"))
@@ -309,8 +323,8 @@ def link_names(names: DataFrame, givens: DataFrame, famille: str = "famille", va
 
     # the rest: the only entity of the same root, else of the most similar one, that they allow
     rest = read.filter(~full & (F.col("root") != ""))
-    roots = owned.groupBy("famille", "root").agg(F.sum("n").alias("n"))
-    strange = rest.groupBy("famille", "root").agg(F.count("*").alias("n")).join(roots.select("famille", "root"), ["famille", "root"], "left_anti")
+    roots = owned.groupBy("famille", "root").agg(F.sum("n").alias("n"), F.mode("particle", True).alias("particle"))
+    strange = rest.groupBy("famille", "root").agg(F.count("*").alias("n"), particle).join(roots.select("famille", "root"), ["famille", "root"], "left_anti")
     best = similar_roots(strange, roots, ["famille"]).groupBy("famille", "root").agg(F.max_by("lead", F.struct(-F.col("edits"), "lead_n", "lead")).alias("lead"))
     rest = rest.join(best, ["famille", "root"], "left").withColumn("lead", F.coalesce("lead", "root"))
     options = rest.join(owned.withColumnRenamed("root", "lead"), ["famille", "lead"], "left").filter(F.col("entity").isNull() | _allowed()).groupBy("famille", "value").agg(F.min("entity").alias("first"), F.max("entity").alias("last"))

@@ -163,7 +163,7 @@ def test_prefix_filter_misses_no_similar_root(spark):
     rnd = random.Random(3)
     roots = {"".join(rnd.choice(["ka", "lo", "dji", "mu", "ze", "ri", "b", "t"]) for _ in range(rnd.randint(2, 4))) for _ in range(120)}
     roots |= {r[:2] + r[3:] for r in list(roots)[:40]} | {r[:1] + r[2:3] + r[1:2] + r[3:] for r in list(roots)[:40]}
-    df = spark.createDataFrame([("f", r, 1) for r in sorted(roots)], "famille STRING, root STRING, n BIGINT")
+    df = spark.createDataFrame([("f", r, 1, "") for r in sorted(roots)], "famille STRING, root STRING, n BIGINT, particle STRING")
     got = {(r.root, r.lead) for r in similar_roots(df, df, ["famille"]).collect()}
 
     def levenshtein(a, b):
