@@ -36,3 +36,15 @@ def classify(df: DataFrame, text: str, rules=TYPE_KEYWORDS, least: float = LEAST
     confidence = F.round(F.col("class_score") / F.greatest(total, F.col("class_score"), F.lit(1.0)), 4)
     known = (F.col("class_score") >= least) & (F.col("class_margin") >= margin)
     return out.withColumn("class_confidence", confidence).withColumn("doc_class", F.when(known, F.col("_r")[0]["k"]).otherwise("UNKNOWN")).drop("_r")
+
+
+def best_template(doc_type: Column, visual: Column, bank: Column, by_bank: dict[str, dict[str, str]], single: dict[str, str]) -> Column:
+    """A template of a document type: what the visual comparison found, else the bank's, else the type's only one; null without any."""
+    pairs = [F.when((doc_type == t) & (bank == b), F.lit(x)) for t, banks in by_bank.items() for b, x in banks.items()]
+    pairs += [F.when(doc_type == t, F.lit(x)) for t, x in single.items()]
+    return F.coalesce(F.nullif(visual, F.lit("")), *pairs)
+
+
+def route(template: Column, certain: Column, otherwise: str = "A_VERIFIER") -> Column:
+    """The folder of a document: its template, if there is one and it is certain."""
+    return F.when(F.coalesce((F.trim(template) != "") & certain, F.lit(False)), template).otherwise(otherwise)

@@ -411,7 +411,7 @@ def prj15_alias_fields(spark, d):
     return fields.first_of_alias(known(champ(spark, d)), ["dossier_id"], "nom_source", "valeur", "champ_id", {"holder": ("titulaire", "nom_abonne"), "cin": ("cin_numero", "cin")})
 
 
-@query()
+@query("WITH v AS (SELECT dossier_id, doc_id, nom_source, max(valeur_normalisee) AS v FROM ch WHERE dossier_id <> 'DOSSIER_UNKNOWN' AND nom_source IN ('titulaire', 'rib', 'employeur', 'poste', 'net_a_payer', 'periode') AND valeur_normalisee IS NOT NULL GROUP BY 1, 2, 3) SELECT dossier_id, doc_id, '{' || string_agg(to_json(nom_source)::VARCHAR || ':' || to_json(v)::VARCHAR, ',' ORDER BY nom_source) || '}' AS view FROM v GROUP BY dossier_id, doc_id")
 def prj12_document_views(spark, d):
     return fields.view_of(known(champ(spark, d)), ["dossier_id", "doc_id"], "nom_source", "valeur_normalisee", ("titulaire", "rib", "employeur", "poste", "net_a_payer", "periode"))
 
@@ -449,3 +449,99 @@ def snk7_upsert(spark, d):
     old = rows.filter(F.col("loaded_at") < F.lit("2025-06-01").cast("timestamp_ntz"))
     new = rows.filter(F.col("loaded_at") >= F.lit("2025-06-01").cast("timestamp_ntz"))
     return audit.upsert(old, new, ["dossier_id"], "loaded_at").select("dossier_id", "validation_status")
+
+
+@query("SELECT DISTINCT d.dossier_id, coalesce(p.n, 0) AS identifiers FROM dossier d LEFT JOIN (SELECT dossier_id, count(DISTINCT name || ':' || value) AS n FROM ids GROUP BY dossier_id) p USING (dossier_id) WHERE d.dossier_id IS NOT NULL".replace("SELECT DISTINCT", "WITH " + _IDS + " SELECT DISTINCT", 1))
+def src10_profile_spine(spark, d):
+    """Every file, also one without any identifier."""
+    counts = _identifiers(spark, d).groupBy("dossier_id").agg(F.countDistinct(F.concat_ws(":", "name", "value")).alias("identifiers"))
+    spine = table(spark, d, "dossier").filter(F.col("dossier_id").isNotNull()).select("dossier_id").distinct()
+    return spine.join(counts, "dossier_id", "left").select("dossier_id", F.coalesce("identifiers", F.lit(0)).alias("identifiers"))
+
+
+@query("WITH p AS (SELECT dossier_id, doc_id, try_cast(max(CASE WHEN nom_source = 'net_a_payer' THEN valeur_normalisee END) AS DOUBLE) AS net, max(CASE WHEN nom_source = 'periode' THEN valeur_normalisee END) AS periode FROM ch WHERE dossier_id <> 'DOSSIER_UNKNOWN' AND doc_type = 'BULLETIN_SALAIRE' AND doc_id IS NOT NULL GROUP BY 1, 2) SELECT * FROM p WHERE net IS NOT NULL AND periode IS NOT NULL")
+def src8_payslips(spark, d):
+    rows = known(champ(spark, d)).filter((F.col("doc_type") == "BULLETIN_SALAIRE") & F.col("doc_id").isNotNull())
+    both = fields.wide(rows, ["dossier_id", "doc_id"], "nom_source", "valeur_normalisee", {"net": "net_a_payer", "periode": "periode"})
+    return both.withColumn("net", F.col("net").try_cast("double")).filter("net IS NOT NULL AND periode IS NOT NULL")
+
+
+@query("WITH p AS (SELECT dossier_id, doc_id, max(CASE WHEN nom_source = 'date_solde_cloture' THEN valeur_normalisee END) AS c, max(CASE WHEN nom_source = 'date_solde_ouverture' THEN valeur_normalisee END) AS o FROM ch WHERE dossier_id <> 'DOSSIER_UNKNOWN' AND doc_type = 'RELEVE_BANCAIRE' AND doc_id IS NOT NULL AND nom_source IN ('date_solde_cloture', 'date_solde_ouverture') GROUP BY 1, 2) SELECT dossier_id, doc_id, coalesce(CASE WHEN regexp_matches(c, '^\\d{4}-(0[1-9]|1[0-2])-\\d{2}$') THEN c[1:7] END, CASE WHEN regexp_matches(o, '^\\d{4}-(0[1-9]|1[0-2])-\\d{2}$') THEN o[1:7] END) AS periode FROM p")
+def prj5_statement_periods(spark, d):
+    rows = known(champ(spark, d)).filter((F.col("doc_type") == "RELEVE_BANCAIRE") & F.col("doc_id").isNotNull())
+    both = fields.wide(rows, ["dossier_id", "doc_id"], "nom_source", "valeur_normalisee", {"c": "date_solde_cloture", "o": "date_solde_ouverture"})
+    of = lambda c: F.when(F.col(c).rlike(r"^\d{4}-(0[1-9]|1[0-2])-\d{2}$"), V.period(F.col(c)))
+    return both.select("dossier_id", "doc_id", F.coalesce(of("c"), of("o")).alias("periode"))
+
+
+@query("WITH c AS (SELECT doc_id, CASE upper(trim(nom_source)) WHEN 'CIN_NUMERO' THEN 'CIN' ELSE upper(trim(nom_source)) END AS name, champ_id, valeur FROM ch WHERE doc_id IS NOT NULL AND dossier_id <> 'DOSSIER_UNKNOWN' AND valeur IS NOT NULL) SELECT doc_id, name, arg_min(valeur, champ_id) AS valeur FROM c GROUP BY doc_id, name")
+def prj7_canonical_fields(spark, d):
+    rows = known(champ(spark, d)).filter(F.col("doc_id").isNotNull() & F.col("valeur").isNotNull()).select("doc_id", fields.canonical(F.col("nom_source"), fields.FIELD_NAMES).alias("name"), "champ_id", "valeur")
+    return rows.groupBy("doc_id", "name").agg(F.min_by("valeur", "champ_id").alias("valeur"))
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY tx_idx, transaction_id)::INT AS place, printf('%s__TX%03d', doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY tx_idx, transaction_id)) AS made_id, transaction_id FROM tx WHERE doc_id IS NOT NULL AND dossier_id <> 'DOSSIER_UNKNOWN'")
+def prj10_transaction_ids(spark, d):
+    from pyspark.sql import Window
+
+    rows = known(txn(spark, d)).filter(F.col("doc_id").isNotNull()).select("doc_id", "tx_idx", "transaction_id")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("tx_idx", "transaction_id"))
+    return rows.select("doc_id", place.alias("place"), "transaction_id").withColumn("made_id", F.format_string("%s__TX%03d", F.col("doc_id"), F.col("place")))
+
+
+@query("SELECT DISTINCT sens, CASE WHEN " + _UPPER.format("sens") + " IN ('C', 'CR', 'CREDIT') THEN 'C' WHEN " + _UPPER.format("sens") + " IN ('D', 'DB', 'DEBIT') THEN 'D' END AS direction FROM txn WHERE sens IS NOT NULL", once=False)
+def s17_directions(spark, d):
+    return table(spark, d, "txn").filter(F.col("sens").isNotNull()).select("sens").distinct().select("sens", V.direction(F.col("sens")).alias("direction"))
+
+
+@query("SELECT DISTINCT nom_source, valeur, CASE WHEN nom_source = 'cachet_present' THEN CASE WHEN " + _UPPER.format("valeur") + " IN ('TRUE', 'OUI', 'YES', '1', 'VRAI', 'PRESENT') THEN 'true' WHEN " + _UPPER.format("valeur") + " IN ('FALSE', 'NON', 'NO', '0', 'FAUX', 'ABSENT') THEN 'false' END ELSE CASE WHEN " + _UPPER.format("valeur") + " IN ('M', 'MASCULIN', 'HOMME', 'MALE') THEN 'M' WHEN " + _UPPER.format("valeur") + " IN ('F', 'FEMININ', 'FEMME', 'FEMALE') THEN 'F' END END AS parsed FROM champ WHERE nom_source IN ('cachet_present', 'sexe') AND valeur IS NOT NULL", once=False)
+def s18_flags(spark, d):
+    v = F.col("valeur")
+    rows = table(spark, d, "champ").filter(F.col("nom_source").isin("cachet_present", "sexe") & v.isNotNull()).select("nom_source", "valeur").distinct()
+    return rows.withColumn("parsed", F.when(F.col("nom_source") == "cachet_present", V.flag(v).cast("string")).otherwise(V.sex(v)))
+
+
+@query("SELECT nom_source, count(*) AS n, round(avg(confidence_ocr), 4) AS mean_confidence, count(*) FILTER (confidence_ocr BETWEEN 0 AND 1) AS usable FROM ch GROUP BY nom_source")
+def a26_mean_confidence(spark, d):
+    return champ(spark, d).groupBy("nom_source").agg(F.count("*").alias("n"), F.round(F.avg("confidence_ocr"), 4).alias("mean_confidence"), F.count(scores.unit_score(F.col("confidence_ocr"))).alias("usable"))
+
+
+@query("WITH s AS (SELECT doc_id, doc_type, list(DISTINCT nom_source) AS l FROM ch WHERE doc_id IS NOT NULL AND trim(valeur) <> '' AND doc_type IN ('RIB', 'QUITTANCE') GROUP BY doc_id, doc_type), r AS (SELECT doc_id, doc_type, list_sort(list_filter(CASE doc_type WHEN 'RIB' THEN ['banque', 'rib', 'titulaire'] ELSE ['adresse', 'nom_abonne', 'ville'] END, lambda n: NOT list_contains(l, n))) AS m FROM s) SELECT doc_id, array_to_string(m, '|') AS missing FROM r")
+def set3_missing_fields(spark, d):
+    need = {"RIB": ["banque", "rib", "titulaire"], "QUITTANCE": ["adresse", "nom_abonne", "ville"]}
+    rows = champ(spark, d).filter(F.col("doc_id").isNotNull() & (F.trim("valeur") != "") & F.col("doc_type").isin(*need))
+    has = {n: F.bool_or(F.col("nom_source") == n).alias(n) for v in need.values() for n in v}
+    agg = rows.groupBy("doc_id", "doc_type").agg(*has.values())
+    listed = {t: F.concat_ws("|", *(F.when(~F.coalesce(F.col(n), F.lit(False)), F.lit(n)) for n in v)) for t, v in need.items()}
+    return agg.select("doc_id", F.when(F.col("doc_type") == "RIB", listed["RIB"]).otherwise(listed["QUITTANCE"]).alias("missing"))
+
+
+@query("WITH " + _PROF.format("RIB", "CIN") + ", h AS (SELECT value FROM own GROUP BY value HAVING count(*) > 1) SELECT DISTINCT dossier_id, 'INTER_' || dossier_id || '_RIB' AS signal_id, value AS evidence, 'DOSSIER_LIE' AS role FROM own JOIN h USING (value)")
+def snk9_signal_edges(spark, d):
+    from tamis.sources.sinks import result_edges
+
+    own = _profile(spark, d).filter(F.col("name") == "RIB").select("dossier_id", "value").distinct()
+    shared = own.join(network.shared_values(own, "dossier_id", "value").select("value"), "value")
+    results = shared.select("dossier_id", F.array("value").alias("values"), F.lit("RIB").alias("check"))
+    edges = result_edges(results, "dossier_id", "check", "values", "DOSSIER_LIE").distinct()
+    return edges.select("dossier_id", F.concat(F.lit("INTER_"), "signal_id").alias("signal_id"), "evidence", "role")
+
+
+@query("SELECT champ_id, json_object('nom', nom_source, 'valeur', valeur)::VARCHAR AS evidence FROM ch WHERE nom_source = 'rib' AND valeur IS NOT NULL")
+def s40_evidence_json(spark, d):
+    rows = champ(spark, d).filter((F.col("nom_source") == "rib") & F.col("valeur").isNotNull())
+    return rows.select("champ_id", F.to_json(F.struct(F.col("nom_source").alias("nom"), "valeur")).alias("evidence"))
+
+
+@query("SELECT doc_id, CASE WHEN template_id IS NULL OR trim(template_id) = '' OR extraction_status <> 'OK' THEN 'A_VERIFIER' ELSE template_id END AS route FROM dd WHERE extraction_status IS NOT NULL")
+def snk4_routes(spark, d):
+    from tamis.operators.classify import route
+
+    return documents(spark, d).filter(F.col("extraction_status").isNotNull()).select("doc_id", route(F.col("template_id"), F.col("extraction_status") == "OK").alias("route"))
+
+
+@query("SELECT DISTINCT dossier_id, (upper(trim(dossier_id)) = 'D_TEST' OR upper(trim(dossier_id)) LIKE '%\\_D\\_TEST' ESCAPE '\\' OR upper(trim(dossier_id)) LIKE 'TEST\\_%' ESCAPE '\\') AS is_test FROM dossier_document WHERE dossier_id IS NOT NULL", once=False)
+def prj11_test_ids(spark, d):
+    u = F.upper(F.trim("dossier_id"))
+    rows = table(spark, d, "dossier_document").filter(F.col("dossier_id").isNotNull()).select("dossier_id").distinct()
+    return rows.withColumn("is_test", (u == "D_TEST") | F.endswith(u, F.lit("_D_TEST")) | F.startswith(u, F.lit("TEST_")))

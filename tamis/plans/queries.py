@@ -86,3 +86,7 @@ SQL["p2_found"] = (
     "UNION SELECT raw_id, 'field', CAST(dp AS INT), CAST(fp AS INT), 0, coalesce(json_extract_string(o, '$.field_name'), '') FROM flds "
     "UNION SELECT raw_id, 'transaction', CAST(dp AS INT), CAST(fp AS INT), CAST(tp AS INT), coalesce(json_extract_string(o, '$.libelle'), '') FROM txs"
 )
+
+_CTE = SQL["p2_found"].split("SELECT DISTINCT raw_id")[0]
+SQL["p2_documents"] = _CTE + "SELECT raw_id, CAST(dp AS INT) AS doc_pos, json_extract_string(o, '$.dossier_id') AS dossier_id, json_extract_string(o, '$.doc_id') AS doc_id, json_extract_string(o, '$.doc_type') AS doc_type, json_extract_string(o, '$.template_id') AS template_id, json_extract_string(o, '$.classification.status') AS classification_status FROM docs"
+SQL["p2_transactions"] = _CTE + "SELECT raw_id, CAST(dp AS INT) AS doc_pos, CAST(fp AS INT) AS field_pos, CAST(tp AS INT) AS tx_pos, json_extract_string(o, '$.date') AS date, json_extract_string(o, '$.libelle') AS libelle, try_cast(json_extract_string(o, '$.montant') AS DOUBLE) AS montant, json_extract_string(o, '$.sens') AS sens FROM txs"

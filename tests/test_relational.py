@@ -175,3 +175,20 @@ def test_transactions_of_a_statement(spark):
     block = layout.blocks(page(spark, "X", blocks))
     assert layout.bounding_box(block).first().confidence == 0.97
     assert layout.after_anchor(block, "achat", F.col("text").rlike(layout.AMOUNT), 3).first().text == "120,50"
+
+
+def test_templates_and_routes(spark):
+    df = spark.createDataFrame([("RIB", "V1", "CIH"), ("RIB", "", "CIH"), ("RIB", None, "X"), ("CIN", None, None), (None, None, None)], "t STRING, v STRING, b STRING")
+    t = classify.best_template(F.col("t"), F.col("v"), F.col("b"), {"RIB": {"CIH": "RIB_CIH"}}, {"CIN": "CIN_1"})
+    assert [r.x for r in df.select(t.alias("x")).collect()] == ["V1", "RIB_CIH", None, "CIN_1", None]
+    assert [r.x for r in df.select(classify.route(t, F.lit(True)).alias("x")).collect()] == ["V1", "RIB_CIH", "A_VERIFIER", "CIN_1", "A_VERIFIER"]
+
+
+def test_operators_on_empty_tables(spark):
+    e = spark.createDataFrame([], "k STRING, n STRING, v STRING, d STRING, p INT, x DOUBLE, y INT")
+    assert series.adjacent_breaks(e, "k", ["p"], "x", "x").count() == series.consecutive(e, "k", "p").count() == series.gap_clusters(e, "k", ["p"], "x", 1).count() == series.largest_gap(e, "k", "x").count() == 0
+    assert compare.unique_match(e, e.withColumnRenamed("x", "z"), ["k"], "x", "z").count() == compare.medoid_reference(e, ["k"], "v", F.lit(0), "d").count() == compare.exact_consistency(e, ["k"], "v", F.lit(0), "d").count() == 0
+    prof = network.profile(e, "k", "n", "v", "d")
+    assert network.identities_behind(prof, "k", "n", "v", "A", "B").count() == network.links_between(prof, "k", "n", "v", "A").count() == 0
+    assert calibration.confusion(e, "y", "p").first().precision is None and calibration.auc(e, "y", "x").first().auc is None
+    assert quality.completeness(e, "k", "n").count() == audit.field_catalog(e, "n", "v", "k", "d").count() == audit.seeded_sample(e, "k", 1, 5).count() == 0
