@@ -70,25 +70,25 @@ def consolidate(edges: DataFrame, a: str = "a", b: str = "b", cell_edges: int =
     """
     e = edges.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).filter("a <> b")
     e = durable(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = None
-    for _ in range(max_rounds):
-        n = e.count()
-        if n == 0:
-            break
+    n = e.count()
+    steps: list[DataFrame] = []
+    while n > 0:
+        if len(steps) == max_rounds:
+            raise RuntimeError("groups didn't become stable")
         side = max(2, int((n / cell_edges) ** 0.5) + 1)
         block = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
         cells = e.select((block("a") * side + block("b")).cast("int").alias("cell"), "a", "b")
         local = cells.repartition(min(side * side, 4096), "cell").sortWithinPartitions("cell").mapInArrow(_cells, "v STRING, r STRING")
         # a vertex has a representative in each cell of one row and one column at most, so the set is bounded by 2 * side
-        parents = durable(local.groupBy("v").agg(F.min("r").alias("p"), F.collect_set("r").alias("rs")))
-        # what the cells disagree on becomes an edge between representatives
-        e = durable(parents.select(F.col("p").alias("a"), F.explode("rs").alias("b")).filter("a <> b").distinct())
-        parents = parents.drop("rs")
-        if labels is None:
-            labels = parents.select("v", F.col("p").alias("r"))
-        else:
-            labels = labels.join(parents.withColumnRenamed("v", "r"), "r", "left").select("v", F.coalesce("p", "r").alias("r"))
-        labels = durable(labels)
-    else:
-        raise RuntimeError("groups didn't become stable")
-    return labels if labels is not None else e.select(F.col("a").alias("v"), F.col("b").alias("r"))
+        exchanged = durable(local.groupBy("v").agg(F.min("r").alias("p"), F.collect_set("r").alias("rs")))
+        # what the cells disagree on becomes an edge between representatives; their number is known before equal ones are merged
+        n = exchanged.agg(F.sum(F.size("rs") - 1)).first()[0] or 0
+        e = exchanged.select(F.col("p").alias("a"), F.explode("rs").alias("b")).filter("a <> b").distinct()
+        steps.append(exchanged.select("v", "p"))
+    if not steps:
+        return e.select(F.col("a").alias("v"), F.col("b").alias("r"))
+    # each round's vertices are representatives of the round before, so the parents are followed round by round
+    labels = steps[0].withColumnRenamed("p", "r")
+    for step in steps[1:]:
+        labels = labels.join(step.withColumnRenamed("v", "r"), "r", "left").select("v", F.coalesce("p", "r").alias("r"))
+    return durable(labels)
