@@ -23,14 +23,16 @@ def query(sql: str | None = None):
     return add
 
 
-def _micros(c):
-    return F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+def _seconds(c):
+    """Seconds since 1970 of a timestamp without zone, the same in every session time zone."""
+    day = F.unix_date(F.to_date(c)).cast("double") * 86400
+    return day + F.hour(c) * 3600 + F.minute(c) * 60 + F.extract(F.lit("SECOND"), F.col(c)).cast("double")
 
 
 @query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) > 86400 THEN 1 ELSE 0 END AS s FROM e)
 SELECT user_id, event_id, sum(s) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS cluster FROM g""")
 def w3_gap_clusters(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_id", _micros("ts").alias("t"))
+    e = table(spark, d, "events").select("user_id", "event_id", _seconds("ts").alias("t"))
     return series.gap_clusters(e, "user_id", ["t", "event_id"], "t", 86400.0).select("user_id", "event_id", F.col("cluster").cast("bigint").alias("cluster"))
 
 
