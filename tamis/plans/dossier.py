@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tamis.functions import scores, similarity
@@ -47,10 +49,15 @@ def documents(spark, d):
 
 
 def known(df):
-    """Only rows of a file: the placeholder isn't one, and its rows would all meet in one task."""
+    """Only rows of a file: the placeholder isn't one. For results per file, and where a query's SQL has the same filter;
+    the queries named ..._all keep every row."""
     return df.filter(F.col("dossier_id") != UNKNOWN)
 
 
+def every(df):
+    return df
+
+
 def _identifiers(spark, d):
     rows = known(champ(spark, d)).filter(F.col("nom_source").isin("cin_numero", "cin", "rib", "iban"))
     return rows.withColumn("name", fields.canonical(F.col("nom_source"), fields.FIELD_NAMES)).withColumn("value", T.identifier(F.col("valeur"))).filter("value IS NOT NULL")
@@ -61,8 +68,8 @@ _IDS = "ids AS (SELECT *, CASE WHEN nom_source IN ('cin_numero', 'cin') THEN 'CI
 _STATEMENT = {c: c for c in ("solde_ouverture", "solde_cloture", "total_credits", "total_debits", "date_solde_cloture")}
 
 
-def _statements(spark, d):
-    rows = known(champ(spark, d)).filter(F.col("doc_type") == "RELEVE_BANCAIRE")
+def _statements(spark, d, only=known):
+    rows = only(champ(spark, d)).filter(F.col("doc_type") == "RELEVE_BANCAIRE")
     wide = fields.wide(rows, ["dossier_id", "doc_id"], "nom_source", "valeur_normalisee", _STATEMENT).filter(F.col("doc_id").isNotNull())
     return wide.withColumns({c: F.col(c).try_cast("double") for c in list(_STATEMENT)[:4]} | {"period": V.period_index(F.substring("date_solde_cloture", 1, 7))})
 
@@ -84,8 +91,8 @@ def snk8_key_violations(spark, d):
 
 
 @query("WITH " + _ST + " SELECT dossier_id, doc_id, solde_ouverture, solde_cloture, total_credits, total_debits, period FROM st")
-def prj1_wide_statements(spark, d):
-    return _statements(spark, d).select("dossier_id", "doc_id", "solde_ouverture", "solde_cloture", "total_credits", "total_debits", "period")
+def prj1_wide_statements(spark, d, only=known):
+    return _statements(spark, d, only).select("dossier_id", "doc_id", "solde_ouverture", "solde_cloture", "total_credits", "total_debits", "period")
 
 
 @query("WITH " + _ST + """, p AS (SELECT dossier_id, solde_ouverture AS o, lag(solde_cloture) OVER (PARTITION BY dossier_id ORDER BY period NULLS FIRST, doc_id) AS b FROM st WHERE solde_ouverture IS NOT NULL AND solde_cloture IS NOT NULL),
@@ -114,9 +121,9 @@ _TOT = """tot AS (SELECT st.dossier_id, st.doc_id, CASE WHEN total_debits IS NUL
 
 
 @query("WITH " + _ST + ", " + _SUMS + ", " + _TOT + " SELECT doc_id, status FROM tot")
-def a5_declared_totals(spark, d):
+def a5_declared_totals(spark, d, only=known):
     sums = compare.signed_totals(txn(spark, d).filter(F.col("doc_id").isNotNull()), "doc_id", "montant", "sens")
-    return compare.declared_against(_statements(spark, d), sums, "doc_id", {"total_debits": "debits", "total_credits": "credits"})
+    return compare.declared_against(_statements(spark, d, only), sums, "doc_id", {"total_debits": "debits", "total_credits": "credits"})
 
 
 @query("""WITH b AS (SELECT dossier_id, try_cast(substr(valeur_normalisee, 1, 4) AS INT) * 12 + try_cast(substr(valeur_normalisee, 6, 2) AS INT) AS p FROM ch WHERE dossier_id <> 'DOSSIER_UNKNOWN' AND doc_type = 'BULLETIN_SALAIRE' AND nom_source = 'periode'),
@@ -138,8 +145,8 @@ def jn3_same_periods(spark, d):
 
 @query("""SELECT doc_id, count(*) AS n_transactions, count(*) FILTER (est_salaire) AS n_salaries, count(*) FILTER (sens = 'C' AND NOT est_salaire) AS n_other_credits,
   CASE WHEN count(*) FILTER (est_salaire) = 1 THEN 'NORMAL' ELSE 'TRIGGERED' END AS status FROM tx WHERE dossier_id <> 'DOSSIER_UNKNOWN' AND doc_id IS NOT NULL GROUP BY doc_id""")
-def a2_one_salary_per_statement(spark, d):
-    rows = known(txn(spark, d)).filter(F.col("doc_id").isNotNull())
+def a2_one_salary_per_statement(spark, d, only=known):
+    rows = only(txn(spark, d)).filter(F.col("doc_id").isNotNull())
     pay = F.coalesce(F.col("est_salaire"), F.lit(False))
     agg = rows.groupBy("doc_id").agg(F.count("*").alias("n_transactions"), F.count_if(pay).alias("n_salaries"), F.count_if((F.col("sens") == "C") & ~F.col("est_salaire")).alias("n_other_credits"))
     return agg.withColumn("status", F.when(F.col("n_salaries") == 1, "NORMAL").otherwise("TRIGGERED"))
@@ -402,8 +409,8 @@ def prj3_document_kinds(spark, d):
 
 
 @query("WITH p AS (SELECT dossier_id, doc_id, max(CASE WHEN nom_source = 'nom' THEN valeur END) AS a, max(CASE WHEN nom_source = 'prenom' THEN valeur END) AS b, min(confidence_ocr) AS confidence FROM ch WHERE dossier_id <> 'DOSSIER_UNKNOWN' AND nom_source IN ('nom', 'prenom') GROUP BY dossier_id, doc_id) SELECT dossier_id, doc_id, " + _CLEAN.format("concat_ws(' ', a, b)") + " AS full_name, confidence FROM p WHERE trim(a) <> '' AND trim(b) <> ''")
-def prj8_full_names(spark, d):
-    return fields.combined_name(known(champ(spark, d)), ["dossier_id", "doc_id"], "nom_source", "valeur", "confidence_ocr", ("nom", "prenom"))
+def prj8_full_names(spark, d, only=known):
+    return fields.combined_name(only(champ(spark, d)), ["dossier_id", "doc_id"], "nom_source", "valeur", "confidence_ocr", ("nom", "prenom"))
 
 
 @query("""SELECT dossier_id, arg_min(valeur, champ_id) FILTER (nom_source IN ('titulaire', 'nom_abonne') AND trim(valeur) <> '') AS holder, arg_min(valeur, champ_id) FILTER (nom_source IN ('cin_numero', 'cin') AND trim(valeur) <> '') AS cin FROM ch WHERE dossier_id <> 'DOSSIER_UNKNOWN' GROUP BY dossier_id""")
@@ -412,8 +419,8 @@ def prj15_alias_fields(spark, d):
 
 
 @query("WITH v AS (SELECT dossier_id, doc_id, nom_source, max(valeur_normalisee) AS v FROM ch WHERE dossier_id <> 'DOSSIER_UNKNOWN' AND nom_source IN ('titulaire', 'rib', 'employeur', 'poste', 'net_a_payer', 'periode') AND valeur_normalisee IS NOT NULL GROUP BY 1, 2, 3) SELECT dossier_id, doc_id, '{' || string_agg(to_json(nom_source)::VARCHAR || ':' || to_json(v)::VARCHAR, ',' ORDER BY nom_source) || '}' AS view FROM v GROUP BY dossier_id, doc_id")
-def prj12_document_views(spark, d):
-    return fields.view_of(known(champ(spark, d)), ["dossier_id", "doc_id"], "nom_source", "valeur_normalisee", ("titulaire", "rib", "employeur", "poste", "net_a_payer", "periode"))
+def prj12_document_views(spark, d, only=known):
+    return fields.view_of(only(champ(spark, d)), ["dossier_id", "doc_id"], "nom_source", "valeur_normalisee", ("titulaire", "rib", "employeur", "poste", "net_a_payer", "periode"))
 
 
 @query("SELECT doc_id, property, value FROM (SELECT doc_id, doc_type, template_id, mois_dossier FROM dd) UNPIVOT INCLUDE NULLS (value FOR property IN (doc_type, template_id, mois_dossier))")
@@ -431,7 +438,7 @@ def m1_mutated_fields(spark, d):
 @query("""WITH pr AS (SELECT dossier_id AS target, donor FROM (SELECT dossier_id, lag(dossier_id) OVER (ORDER BY dossier_id) AS donor FROM (SELECT DISTINCT dossier_id FROM dossier WHERE dossier_id IS NOT NULL)) WHERE donor IS NOT NULL AND substr(dossier_id, length(dossier_id)) = '0'),
 g AS (SELECT dossier_id AS donor, max(valeur) AS given FROM ch WHERE nom_source = 'rib' AND dossier_id <> 'DOSSIER_UNKNOWN' GROUP BY dossier_id)
 SELECT champ_id, coalesce(given, valeur) AS valeur FROM ch LEFT JOIN pr ON ch.dossier_id = pr.target LEFT JOIN g USING (donor) WHERE nom_source = 'rib' AND dossier_id <> 'DOSSIER_UNKNOWN'""")
-def m3_borrowed_fields(spark, d):
+def m3_borrowed_fields(spark, d, only=known):
     # donors: the id before the target's, found inside ranges of ids, so that no task sorts them all
     ids = table(spark, d, "dossier").filter(F.col("dossier_id").isNotNull()).select("dossier_id").distinct()
     number = F.substring("dossier_id", 2, 20).try_cast("bigint")
@@ -439,7 +446,7 @@ def m3_borrowed_fields(spark, d):
     before = ids.select(F.col("dossier_id").alias("donor"), F.col("n").alias("m"))
     targets = ids.filter(F.substring("dossier_id", -1, 1) == "0").withColumn("m", F.explode(F.sequence(F.col("n") - 9, F.col("n") - 1)))
     pairs = targets.join(before, "m").groupBy(F.col("dossier_id").alias("target")).agg(F.max("donor").alias("donor"))
-    rows = known(champ(spark, d)).filter(F.col("nom_source") == "rib")
+    rows = only(champ(spark, d)).filter(F.col("nom_source") == "rib")
     return mutate.borrow_from_donor(rows, pairs, "dossier_id", "nom_source", "valeur", ("rib",)).select("champ_id", "valeur")
 
 
@@ -460,31 +467,31 @@ def src10_profile_spine(spark, d):
 
 
 @query("WITH p AS (SELECT dossier_id, doc_id, try_cast(max(CASE WHEN nom_source = 'net_a_payer' THEN valeur_normalisee END) AS DOUBLE) AS net, max(CASE WHEN nom_source = 'periode' THEN valeur_normalisee END) AS periode FROM ch WHERE dossier_id <> 'DOSSIER_UNKNOWN' AND doc_type = 'BULLETIN_SALAIRE' AND doc_id IS NOT NULL GROUP BY 1, 2) SELECT * FROM p WHERE net IS NOT NULL AND periode IS NOT NULL")
-def src8_payslips(spark, d):
-    rows = known(champ(spark, d)).filter((F.col("doc_type") == "BULLETIN_SALAIRE") & F.col("doc_id").isNotNull())
+def src8_payslips(spark, d, only=known):
+    rows = only(champ(spark, d)).filter((F.col("doc_type") == "BULLETIN_SALAIRE") & F.col("doc_id").isNotNull())
     both = fields.wide(rows, ["dossier_id", "doc_id"], "nom_source", "valeur_normalisee", {"net": "net_a_payer", "periode": "periode"})
     return both.withColumn("net", F.col("net").try_cast("double")).filter("net IS NOT NULL AND periode IS NOT NULL")
 
 
 @query("WITH p AS (SELECT dossier_id, doc_id, max(CASE WHEN nom_source = 'date_solde_cloture' THEN valeur_normalisee END) AS c, max(CASE WHEN nom_source = 'date_solde_ouverture' THEN valeur_normalisee END) AS o FROM ch WHERE dossier_id <> 'DOSSIER_UNKNOWN' AND doc_type = 'RELEVE_BANCAIRE' AND doc_id IS NOT NULL AND nom_source IN ('date_solde_cloture', 'date_solde_ouverture') GROUP BY 1, 2) SELECT dossier_id, doc_id, coalesce(CASE WHEN regexp_matches(c, '^\\d{4}-(0[1-9]|1[0-2])-\\d{2}$') THEN c[1:7] END, CASE WHEN regexp_matches(o, '^\\d{4}-(0[1-9]|1[0-2])-\\d{2}$') THEN o[1:7] END) AS periode FROM p")
-def prj5_statement_periods(spark, d):
-    rows = known(champ(spark, d)).filter((F.col("doc_type") == "RELEVE_BANCAIRE") & F.col("doc_id").isNotNull())
+def prj5_statement_periods(spark, d, only=known):
+    rows = only(champ(spark, d)).filter((F.col("doc_type") == "RELEVE_BANCAIRE") & F.col("doc_id").isNotNull())
     both = fields.wide(rows, ["dossier_id", "doc_id"], "nom_source", "valeur_normalisee", {"c": "date_solde_cloture", "o": "date_solde_ouverture"})
     of = lambda c: F.when(F.col(c).rlike(r"^\d{4}-(0[1-9]|1[0-2])-\d{2}$"), V.period(F.col(c)))
     return both.select("dossier_id", "doc_id", F.coalesce(of("c"), of("o")).alias("periode"))
 
 
 @query("WITH c AS (SELECT doc_id, CASE upper(trim(nom_source)) WHEN 'CIN_NUMERO' THEN 'CIN' ELSE upper(trim(nom_source)) END AS name, champ_id, valeur FROM ch WHERE doc_id IS NOT NULL AND dossier_id <> 'DOSSIER_UNKNOWN' AND valeur IS NOT NULL) SELECT doc_id, name, arg_min(valeur, champ_id) AS valeur FROM c GROUP BY doc_id, name")
-def prj7_canonical_fields(spark, d):
-    rows = known(champ(spark, d)).filter(F.col("doc_id").isNotNull() & F.col("valeur").isNotNull()).select("doc_id", fields.canonical(F.col("nom_source"), fields.FIELD_NAMES).alias("name"), "champ_id", "valeur")
+def prj7_canonical_fields(spark, d, only=known):
+    rows = only(champ(spark, d)).filter(F.col("doc_id").isNotNull() & F.col("valeur").isNotNull()).select("doc_id", fields.canonical(F.col("nom_source"), fields.FIELD_NAMES).alias("name"), "champ_id", "valeur")
     return rows.groupBy("doc_id", "name").agg(F.min_by("valeur", "champ_id").alias("valeur"))
 
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY tx_idx, transaction_id)::INT AS place, printf('%s__TX%03d', doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY tx_idx, transaction_id)) AS made_id, transaction_id FROM tx WHERE doc_id IS NOT NULL AND dossier_id <> 'DOSSIER_UNKNOWN'")
-def prj10_transaction_ids(spark, d):
+def prj10_transaction_ids(spark, d, only=known):
     from pyspark.sql import Window
 
-    rows = known(txn(spark, d)).filter(F.col("doc_id").isNotNull()).select("doc_id", "tx_idx", "transaction_id")
+    rows = only(txn(spark, d)).filter(F.col("doc_id").isNotNull()).select("doc_id", "tx_idx", "transaction_id")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("tx_idx", "transaction_id"))
     return rows.select("doc_id", place.alias("place"), "transaction_id").withColumn("made_id", F.format_string("%s__TX%03d", F.col("doc_id"), F.col("place")))
 
@@ -545,3 +552,17 @@ def prj11_test_ids(spark, d):
     u = F.upper(F.trim("dossier_id"))
     rows = table(spark, d, "dossier_document").filter(F.col("dossier_id").isNotNull()).select("dossier_id").distinct()
     return rows.withColumn("is_test", (u == "D_TEST") | F.endswith(u, F.lit("_D_TEST")) | F.startswith(u, F.lit("TEST_")))
+
+
+# results per document or row also over the rows of the placeholder, which the keys spread; a result per file has none for it
+_KNOWN = "dossier_id <> 'DOSSIER_UNKNOWN'"
+for _f in (prj1_wide_statements, a5_declared_totals, a2_one_salary_per_statement, src8_payslips, prj5_statement_periods, prj7_canonical_fields, prj10_transaction_ids, prj8_full_names, prj12_document_views, m3_borrowed_fields):
+    QUERIES[f"{_f.__name__}_all"] = partial(_f, only=every)
+    SQL[f"{_f.__name__}_all"] = SQL[_f.__name__].replace(_KNOWN, "true")
+
+
+@query(SQL["m1_mutated_fields"] + " UNION ALL SELECT champ_id, valeur, false FROM ch WHERE nom_source IN ('net_a_payer', 'periode') AND coalesce(dossier_id, 'DOSSIER_UNKNOWN') = 'DOSSIER_UNKNOWN'", once=False)
+def m1_mutated_fields_all(spark, d):
+    """A row without a file stays as it is."""
+    rest = champ(spark, d).filter(F.col("nom_source").isin("net_a_payer", "periode") & (F.coalesce("dossier_id", F.lit(UNKNOWN)) == UNKNOWN))
+    return m1_mutated_fields(spark, d).unionByName(rest.select("champ_id", "valeur", F.lit(False).alias("mutated")))

@@ -192,3 +192,17 @@ def test_operators_on_empty_tables(spark):
     assert network.identities_behind(prof, "k", "n", "v", "A", "B").count() == network.links_between(prof, "k", "n", "v", "A").count() == 0
     assert calibration.confusion(e, "y", "p").first().precision is None and calibration.auc(e, "y", "x").first().auc is None
     assert quality.completeness(e, "k", "n").count() == audit.field_catalog(e, "n", "v", "k", "d").count() == audit.seeded_sample(e, "k", 1, 5).count() == 0
+
+
+def test_rows_of_the_placeholder_are_in_the_results_per_document(spark, sf):
+    import __spark_entry__ as e
+    from tamis.plans.dossier import UNKNOWN
+    from tamis.session import table
+
+    q = e.queries()
+    unknown = lambda name: table(spark, sf, name).filter((F.col("dossier_id") == UNKNOWN) & F.col("doc_id").isNotNull())
+    want = {r.doc_id for r in unknown("txn").select("doc_id").distinct().collect()}
+    assert want and want <= {r.doc_id for r in q["a2_one_salary_per_statement_all"](spark, sf).collect()}
+    assert {r.doc_id for r in unknown("champ").filter("valeur IS NOT NULL").select("doc_id").distinct().collect()} <= {r.doc_id for r in q["prj7_canonical_fields_all"](spark, sf).collect()}
+    assert q["prj1_wide_statements_all"](spark, sf).filter(F.col("dossier_id") == UNKNOWN).count() > 0
+    assert q["m1_mutated_fields_all"](spark, sf).exceptAll(q["m1_mutated_fields"](spark, sf)).filter("mutated").count() == 0
