@@ -82,20 +82,24 @@ def exact_consistency(rows: DataFrame, keys: list[str], value: str, priority: Co
     return agg.select(*keys, "reference", "compared", "different", F.when(F.col("compared") > 1, F.when(F.col("different") > 0, 1.0).otherwise(0.0)).alias("score"))
 
 
-def medoid_reference(rows: DataFrame, keys: list[str], value: str, priority: Column, document: str, most: int = 20) -> DataFrame:
+def medoid_reference(rows: DataFrame, keys: list[str], value: str, priority: Column, document: str, block: int = 500) -> DataFrame:
     """(keys, reference, score): among the values of the best priority, the one most alike all others, and the ladder score of the
-    value least alike it.
+    value least alike it; ties by the first document, then the value.
 
-    Works on different values, at most `most` of a key taken part in as candidates by their number of rows (a file has a handful);
-    every value is held against the reference. Null and blank values don't take part; keys with one document have a null score.
+    Works on different values with their numbers of rows. Every value of the best priority is a candidate and is held against every value
+    of the key; both sides of a key lie in blocks of about `block` values, and each pair of blocks is a key of the join of its own, so a key with many
+    values spreads over many tasks. Null and blank values don't take part; keys with one document have a null score.
     """
-    different = rows.filter(F.trim(F.col(value)) != "").groupBy(*keys, value).agg(F.min(priority).alias("p"), F.min(document).alias("d"), F.countDistinct(document).alias("docs"), F.count("*").alias("n"))
-    w = Window.partitionBy(*keys)
-    ranked = different.withColumn("best", F.min("p").over(w)).withColumn("r", F.row_number().over(w.orderBy("p", F.desc("n"), "d", value)))
-    candidates = ranked.filter((F.col("p") == F.col("best")) & (F.col("r") <= most)).select(*keys, F.col(value).alias("a"), "d")
-    pairs = add_text_similarity(candidates.join(ranked.select(*keys, F.col(value).alias("b"), "n"), keys), "a", "b", "s")
+    some = rows.filter(F.trim(F.col(value)) != "")
+    different = some.groupBy(*keys, value).agg(F.min(priority).alias("p"), F.min(document).alias("d"), F.count("*").alias("n"))
+    parts = F.ceil(F.count("*") / block).cast("int")
+    size = different.groupBy(*keys).agg(F.min("p").alias("best"), parts.alias("_parts"))
+    docs = some.groupBy(*keys).agg(F.countDistinct(document).alias("docs"))
+    placed = different.join(size, keys).withColumn("_at", F.pmod(F.xxhash64(value), "_parts").cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    candidates = placed.filter(F.col("p") == F.col("best")).select(*keys, F.col(value).alias("a"), "d", F.col("_at").alias("_i"), others.alias("_j"))
+    against = placed.select(*keys, F.col(value).alias("b"), "n", F.col("_at").alias("_j"), others.alias("_i"))
+    pairs = add_text_similarity(candidates.join(against, [*keys, "_i", "_j"]), "a", "b", "s")
     rated = pairs.groupBy(*keys, "a").agg(F.min("d").alias("d"), F.round(F.sum(F.col("s") * F.col("n")) / F.sum("n"), 6).alias("mean"), F.min("s").alias("worst"))
-    first = Window.partitionBy(*keys).orderBy(F.desc("mean"), "d", "a")
-    chosen = rated.withColumn("r", F.row_number().over(first)).filter("r = 1").select(*keys, F.col("a").alias("reference"), "worst")
-    docs = rows.filter(F.trim(F.col(value)) != "").groupBy(*keys).agg(F.countDistinct(document).alias("docs"))
+    chosen = rated.groupBy(*keys).agg(F.min_by(F.struct("a", "worst"), F.struct(-F.col("mean"), "d", "a")).alias("_c")).select(*keys, F.col("_c.a").alias("reference"), F.col("_c.worst").alias("worst"))
     return chosen.join(docs, keys).select(*keys, "reference", F.when(F.col("docs") > 1, at_least(F.col("worst"))).alias("score"))

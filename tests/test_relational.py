@@ -59,6 +59,16 @@ def test_references(spark):
     assert got == {"f": ("EL ALAMI NADIA", 1.0), "g": ("SEUL", None)}
 
 
+def test_medoid_among_more_than_twenty_values(spark):
+    # 25 values with many rows that aren't alike, and one with a single row that holds a word of each
+    words = [chr(97 + i) * 6 for i in range(25)]
+    rows = [("f", f"d{i:02}{k}", "CIN", w) for i, w in enumerate(words) for k in range(2)] + [("f", "z", "CIN", " ".join(words)), ("g", "y", "CIN", "SEUL")]
+    names = spark.createDataFrame(rows, "k STRING, d STRING, t STRING, v STRING")
+    for extra in ({}, {"block": 4}):
+        got = {r.k: (r.reference, r.score) for r in compare.medoid_reference(names, ["k"], "v", F.lit(0), "d", **extra).collect()}
+        assert got == {"f": (" ".join(words), 0.0), "g": ("SEUL", None)}
+
+
 def test_shared_identifiers(spark):
     rows = [("D1", "RIB", "r1", "a"), ("D1", "CIN", "c1", "a"), ("D2", "RIB", "r1", "b"), ("D2", "CIN", "c2", "b"), ("D3", "RIB", "r2", "c"), ("D4", "RIB", "r2", "d"), ("D3", "CIN", "c1", "c"), ("D4", "CIN", "c1", "d"), ("D5", "RIB", "r3", "e"), ("D6", "RIB", "r3", "f"), ("D7", "RIB", " ", "g"), ("D8", "RIB", None, "h")]
     prof = network.profile(spark.createDataFrame(rows, "f STRING, n STRING, v STRING, d STRING"), "f", "n", "v", "d")
