@@ -64,7 +64,8 @@ def triples(obj: dict, level: Level, ordinals: tuple[int, ...] = ()) -> Iterator
     """(level, ordinals, path below the repeated ancestor, value) of every leaf under one level of a parent.
 
     Each object first gives a triple with an empty path, so that an object without members still gives a row.
-    A single object stands for a list of one; elements that aren't objects count in the ordinals only.
+    A single object stands for a list of one; elements that aren't objects count in the ordinals only. The member that
+    the objects of a level below are taken from gives no leaf of its own; its other sources do.
     """
     if level.when and obj.get(level.when[0]) != level.when[1]:
         return
@@ -74,7 +75,8 @@ def triples(obj: dict, level: Level, ordinals: tuple[int, ...] = ()) -> Iterator
             continue
         at = (*ordinals, i)
         yield level.name, at, "", None
-        below = {s for c in level.children if not c.when or item.get(c.when[0]) == c.when[1] for s in c.sources}
+        used = [next((s for s in c.sources if item.get(s) is not None), None) for c in level.children if not c.when or item.get(c.when[0]) == c.when[1]]
+        below = {s for s in used if isinstance(item.get(s), (dict, list))}
         stack = [("", item)]
         while stack:
             prefix, node = stack.pop()
@@ -126,8 +128,10 @@ def shred(df: DataFrame, record_id: str = "raw_id", payload: str = "payload", le
     return df.select(F.col(record_id).cast("bigint"), F.col(payload).cast("string")).mapInArrow(_run(level), ROWS)
 
 
-def level_table(shredded: DataFrame, niveau: str, positions: list[str], columns: dict[str, str]) -> DataFrame:
-    """The flat table of one level; columns: output name to path. Paths that are absent come out null."""
+def level_table(shredded: DataFrame, niveau: str, positions: list[str], columns: dict[str, str], rest: str | None = None) -> DataFrame:
+    """The flat table of one level; columns: output name to path. Paths that are absent come out null. `rest` names a column for
+    a map of all other paths."""
+    others = [F.map_filter("vals", lambda k, _: ~k.isin(*columns.values())).alias(rest)] if rest else []
     return shredded.filter(F.col("niveau") == niveau).select(
-        "record_id", *(F.col(f"pos{i}").alias(p) for i, p in enumerate(positions, 1)), *(F.col("vals")[path].alias(name) for name, path in columns.items())
+        "record_id", *(F.col(f"pos{i}").alias(p) for i, p in enumerate(positions, 1)), *(F.col("vals")[path].alias(name) for name, path in columns.items()), *others
     )

@@ -23,23 +23,33 @@ def _raw(df):
     return df.withColumnRenamed("record_id", "raw_id")
 
 
-def p2_documents(spark, d):
+def p2_documents(spark, d, rest=None):
     cols = {c: c for c in ("dossier_id", "doc_id", "doc_type", "template_id")} | {"classification_status": "classification.status"}
-    return _raw(S.level_table(_shredded(spark, d), "document", ["doc_pos"], cols))
+    return _raw(S.level_table(_shredded(spark, d), "document", ["doc_pos"], cols, rest))
+
+
+def p2_documents_all(spark, d):
+    """p2_documents with a map of all other leaves."""
+    return p2_documents(spark, d, "others")
 
 
 def p2_fields(spark, d):
     cols = {c: c for c in ("field_name", "raw_value", "normalized_value", "status", "confidence")} | {"evidence_texts": "evidence.texts"}
-    out = _raw(S.level_table(_shredded(spark, d), "field", ["doc_pos", "field_pos"], cols))
+    out = _raw(S.level_table(_shredded(spark, d), "field", ["doc_pos", "field_pos"], cols, "others"))
     return out.withColumn("confidence", F.col("confidence").try_cast("double"))
 
 
-def p2_transactions(spark, d):
+def p2_transactions(spark, d, rest=None):
     cols = {c: c for c in ("date", "libelle", "montant", "sens")}
-    out = _raw(S.level_table(_shredded(spark, d), "transaction", ["doc_pos", "field_pos", "tx_pos"], cols))
+    out = _raw(S.level_table(_shredded(spark, d), "transaction", ["doc_pos", "field_pos", "tx_pos"], cols, rest))
     return out.withColumn("montant", F.col("montant").try_cast("double"))
 
 
+def p2_transactions_all(spark, d):
+    """p2_transactions with a map of all other leaves."""
+    return p2_transactions(spark, d, "others")
+
+
 def p6_found(spark, d):
     t = O.dossier_tables(spark, d)
     return O.orphans(O.reference_rows(t), O.target_rows(t))
@@ -49,7 +59,7 @@ def p6_report(spark, d):
     return O.orphan_report(p6_found(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_documents, p2_fields, p2_transactions, p6_found, p6_report)} | dossier.QUERIES | generic.QUERIES
+QUERIES = {f.__name__: f for f in (p2_found, p2_documents, p2_documents_all, p2_fields, p2_transactions, p2_transactions_all, p6_found, p6_report)} | dossier.QUERIES | generic.QUERIES
 SQL: dict[str, str] = dossier.SQL | generic.SQL
 
 _P6 = """

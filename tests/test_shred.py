@@ -51,3 +51,22 @@ def test_table_with_nulls_repeats_and_clashing_columns(spark):
     t = level_table(out, "field", ["doc_pos", "field_pos"], {"raw": "raw_value", "absent": "nothing"}).filter("record_id IS NULL").collect()
     assert [(r.doc_pos, r.field_pos, len(r.raw), r.absent) for r in t] == [(1, 1, 100_000, None)]
     assert shred(df.limit(0)).count() == 0
+
+
+def test_source_that_is_not_used_and_other_leaves_are_kept(spark):
+    f = {"field_name": "transactions", "normalized_value": [{"libelle": "a", "ocr_confidence": 0.5, "detail": {"x": 1}}], "raw_value": [{"libelle": "A"}], "validation_messages": ["m"]}
+    p = json.dumps({"documents": [{"doc_id": "D", "extraction_validation": {"ok": True}, "fields": [f, {"field_name": "transactions", "normalized_value": "text", "raw_value": [{"libelle": "b"}]}]}]})
+    out = shred(spark.createDataFrame([(1, p)], "raw_id BIGINT, payload STRING"))
+    of = lambda *a: level_table(out, *a, rest="others").orderBy("record_id", *a[1]).collect()
+    assert [(r.raw, r.others) for r in of("field", ["doc_pos", "field_pos"], {"name": "field_name", "raw": "raw_value"})] == [('[{"libelle": "A"}]', {"validation_messages": '["m"]'}), ('[{"libelle": "b"}]', {"normalized_value": "text"})]
+    assert [(r.l, r.others) for r in of("transaction", ["a", "b", "c"], {"l": "libelle"})] == [("a", {"ocr_confidence": "0.5", "detail.x": "1"})]
+    assert [r.others for r in of("document", ["a"], {"doc_id": "doc_id"})] == [{"extraction_validation.ok": "true"}]
+
+
+def test_registered_tables_have_all_leaves(spark, tmp_path):
+    import __spark_entry__ as e
+
+    p = json.dumps({"documents": [{"doc_id": "D", "v": 1, "fields": [{"field_name": "transactions", "w": 2, "raw_value": [{"libelle": "a", "x": 3}]}]}]})
+    spark.createDataFrame([(1, p)], "raw_id BIGINT, payload STRING").write.parquet(str(tmp_path / "dossier_brut.parquet"))
+    got = [e.queries()[n](spark, str(tmp_path)).first().others for n in ("p2_documents_all", "p2_fields", "p2_transactions_all")]
+    assert got == [{"v": "1"}, {"w": "2"}, {"x": "3"}]
