@@ -245,11 +245,20 @@ def jn4_identifier_links(spark, d):
     return network.links_between(_profile(spark, d), "dossier_id", "name", "value", "CIN")
 
 
-@query()
-def jn4_same_cin_names(spark, d):
+def _names_and_identifiers(spark, d):
     names = known(champ(spark, d)).filter(F.col("nom_source").isin("titulaire", "nom_abonne")).withColumn("name", F.lit("NOM")).withColumn("value", T.upper_words(F.col("valeur")))
     both = _identifiers(spark, d).select("dossier_id", "name", "value", "doc_id").unionByName(names.select("dossier_id", "name", "value", "doc_id"))
-    return network.names_behind(network.profile(both, "dossier_id", "name", "value", "doc_id"), "dossier_id", "name", "value", "CIN", "NOM")
+    return network.profile(both, "dossier_id", "name", "value", "doc_id")
+
+
+@query()
+def jn4_same_cin_names(spark, d):
+    return network.linked_names(_names_and_identifiers(spark, d), "dossier_id", "name", "value", "CIN", "NOM")
+
+
+@query("WITH " + _IDS + ", own AS (SELECT DISTINCT dossier_id, " + _UPPER.format("valeur") + " AS value FROM ch WHERE dossier_id <> 'DOSSIER_UNKNOWN' AND nom_source IN ('titulaire', 'nom_abonne')), g AS (SELECT o.value, count(DISTINCT i.value) AS identities FROM own o JOIN ids i USING (dossier_id) WHERE i.name = 'CIN' AND o.value <> '' GROUP BY o.value) SELECT value, identities, CASE WHEN identities <= 1 THEN 0.0::DOUBLE WHEN identities <= 2 THEN 0.25 WHEN identities <= 3 THEN 0.5 ELSE 0.6 END AS score FROM g")
+def jn6_same_name_cins(spark, d):
+    return network.group_scores(_names_and_identifiers(spark, d), "dossier_id", "name", "value", "NOM", "CIN")
 
 
 @query("WITH p AS (SELECT dossier_id, name, value, count(DISTINCT doc_id) AS documents FROM ids GROUP BY dossier_id, name, value) SELECT * FROM p".replace("WITH p", "WITH " + _IDS + ", p"))

@@ -84,6 +84,36 @@ def test_same_identifier_with_other_names(spark):
     assert {r.v: (r.labels, r.score) for r in network.names_behind(prof, "f", "n", "v", "CIN", "NOM").collect()} == {"c": (2, 0.0), "e": (2, 1.0)}
 
 
+def test_names_of_all_files_with_the_same_identifier(spark):
+    from difflib import SequenceMatcher
+
+    files = {"D1": ("c", ["NADIA ALAMI"]), "D2": ("c", ["NADIA ALAMI"]), "D3": ("c", ["OMAR TAZI", "SAMIR BENNIS"]), "D4": ("c", ["SAMIR BENNISS", "NADIA ALAMI"]), "D5": ("c", []), "E1": ("e", ["A B"]), "E2": ("e", []), "F1": ("f", ["A B"]), "G1": ("g", ["HIND X"]), "G2": ("g", ["X HIND"])}
+    rows = [r for f, (c, names) in files.items() for r in [(f, "CIN", c, "d"), *((f, "NOM", n, "d") for n in names)]]
+    prof = network.profile(spark.createDataFrame(rows, "f STRING, n STRING, v STRING, d STRING"), "f", "n", "v", "d")
+
+    def alike(a, b):
+        x, y = set(a.split()), set(b.split())
+        return round(max(len(x & y) / min(len(x), len(y)), len(x & y) / len(x | y), SequenceMatcher(None, " ".join(sorted(a.split())), " ".join(sorted(b.split()))).ratio()), 6)
+
+    want = {}
+    for f, (c, names) in files.items():
+        others = [files[g] for g in files if g != f and files[g][0] == c]
+        best = [max(alike(a, b) for a in names for b in o) for _, o in others if names and o]
+        if others:
+            want[f] = (sum(bool(o) for _, o in others), min(best, default=None))
+    for extra in ({}, {"block": 1}):
+        got = {r.f: r for r in network.linked_names(prof, "f", "n", "v", "CIN", "NOM", **extra).collect()}
+        assert {f: (r.linked, r.least) for f, r in got.items()} == want and want["D3"][1] < 0.6 < want["D4"][1]
+        assert (got["D5"].score, got["E1"].score, got["E2"].score, got["G1"].score, got["D1"].score) == (None, 0.0, None, 0.0, 1.0)
+
+
+def test_registered_queries_of_names_behind_identifiers(spark, sf):
+    import __spark_entry__ as e
+
+    assert e.queries()["jn4_same_cin_names"](spark, sf).columns == ["dossier_id", "value", "linked", "least", "score"]
+    assert e.queries()["jn6_same_name_cins"](spark, sf).count() > 0
+
+
 def test_fields(spark):
     rows = spark.createDataFrame([("d", "a", "1", 1), ("d", "a", "2", 2), ("d", "b", None, 3), ("d", "z", "x", 4), ("e", "b", " ", 1), ("e", "b", "5", 2)], "k STRING, n STRING, v STRING, p INT")
     assert {r.k: (r.A, r.B) for r in fields.wide(rows, ["k"], "n", "v", {"A": "a", "B": "b"}, "p").collect()} == {"d": ("2", None), "e": (None, "5")}
