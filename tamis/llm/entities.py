@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamis.functions import text as T
 from tamis.llm.groups import consolidate
 from tamis.llm.lists import Trie, shortens
 from tamis.llm.names import fold, letters
@@ -302,13 +303,16 @@ def link_names(names: DataFrame, givens: DataFrame, famille: str = "famille", va
     # entities: full names, each root following the best supported one that it resembles under the same facet
     full = F.size("facets") == 1
     particle = F.when(F.col("famille") == PERSON, F.mode("kind", True)).otherwise("").alias("particle")
-    units = read.filter(full & (F.col("root") != "")).groupBy("famille", F.element_at("facets", 1).alias("facet"), "root").agg(F.count("*").alias("n"), particle)
+    units = read.filter(full & (F.col("root") != "")).groupBy("famille", F.element_at("facets", 1).alias("facet"), "root").agg(F.count("*").alias("n"), particle, F.count_distinct(_words_of("value")).alias("m"))
     units = durable(units)
     total = max(units.count(), 2)
     common = units.groupBy("famille", "facet").agg(F.sum("n").alias("facet_n"))
     near = similar_roots(units, units, ["famille", "facet"]).filter((F.col("lead_n") > F.col("n")) | ((F.col("lead_n") == F.col("n")) & (F.col("lead") < F.col("root"))))
-    # two edits other than a swap are believed of a root that occurs once only
-    near = near.filter(((F.col("n") < ESTABLISHED) | (F.col("n") * 3 <= F.col("lead_n"))) & ((F.col("edits") < 2) | F.col("swapped") | (F.col("n") == 1)))
+    # two edits other than a swap are believed of a root with one set of words, or with few beside those of its lead
+    sets = units.select("famille", "facet", "root", "m")
+    near = near.join(sets, ["famille", "facet", "root"]).join(sets.withColumnsRenamed({"root": "lead", "m": "lead_m"}), ["famille", "facet", "lead"])
+    few = (F.col("n") == 1) | (F.col("m") == 1) | (F.col("m") * 3 <= F.col("lead_m"))
+    near = near.filter(((F.col("n") < ESTABLISHED) | (F.col("n") * 3 <= F.col("lead_n"))) & ((F.col("edits") < 2) | F.col("swapped") | few))
     weight = lambda n: F.log(1 + F.lit(float(total)) / n)
     likeness = (weight(F.col("n")) * (1 - F.col("edits") / F.greatest(F.length("root"), F.length("lead"))) + weight(F.col("facet_n"))) / (weight(F.col("n")) + weight(F.col("facet_n")))
     near = near.join(common, ["famille", "facet"]).withColumn("likeness", likeness).filter(F.col("likeness") >= LEAST)
@@ -338,6 +342,11 @@ def link_names(names: DataFrame, givens: DataFrame, famille: str = "famille", va
     return done.select("famille", "value", F.col("entity").alias("entity_id")).unionByName(partial).unionByName(rootless)
 
 
+def _words_of(c: str) -> Column:
+    """The different words of a name in order, without titles: the same for spellings that differ in case, order and title only."""
+    return F.array_sort(F.array_except(T.words(T.lower_words(F.col(c))), F.lit(sorted(TITLES))))
+
+
 def _allowed() -> Column:
     """Does a name allow an entity: a given name among its own, or its initial; no other legal form."""
     words = F.split("facet", " ")

@@ -179,3 +179,11 @@ def test_prefix_filter_misses_no_similar_root(spark):
 
 def test_tokens():
     assert tokens("  L'Œuvre №5 – Été ") == ["l", "oeuvre", "no5", "ete"]
+
+
+def test_two_edits_of_a_root_with_several_spellings(spark):
+    lead = ["Nadia El Bikhedjiddi", "EL BIKHEDJIDDI NADIA", "Nadia EL BIKHEDJIDDI", "Mme Nadia El Bikhedjiddi"]
+    misread = ["Nadia El Bikhodjaddi", "MME NADIA EL BIKHODJADDI"]
+    df = spark.createDataFrame([(PERSON, v) for v in lead + misread], "famille STRING, valeur STRING")
+    givens = spark.createDataFrame([(g.upper(),) for g in GIVEN], "valeur STRING")
+    assert len({r.entity_id for r in link_names(df, givens).collect()}) == 1
