@@ -205,23 +205,23 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by bucket and support: each street is linked to the nearest leader that it agrees with, or leads."""
-    bucket, leaders = None, []
+    """Over rows sorted by bucket, support and street: each street is linked to the nearest leader that one of its rests agrees
+    with, or leads. Leaders keep all of their rests."""
+    bucket, leaders = None, {}
     for batch in batches:
-        left, right = [], []
+        found = {}
         for b, number, name, rest in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if b != bucket:
-                bucket, leaders = b, []
+                bucket, leaders = b, {}
             words = tuple(rest.split())
-            fits = [x for x in leaders if x[0] == number and same_street(x[1], name, x[2], words)]
+            fits = [x for (n, x), rests in leaders.items() if n == number and x != name and any(same_street(x, name, r, words) for r in rests)]
             if fits:
-                lead = min(fits, key=lambda x: (osa(x[1], name, 3), x[1]))
-                left.append(f"{number} {lead[1]}")
-                right.append(f"{number} {name}")
-            else:
-                leaders.append((number, name, words))
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], ["a", "b"])
+                lead = min(fits, key=lambda x: (osa(x, name, 3), x))
+                found[f"{number} {lead}", f"{number} {name}"] = None
+            if not fits or (number, name) in leaders:
+                leaders.setdefault((number, name), []).append(words)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.string())], ["a", "b"])
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,9 +248,11 @@ def address_classes(values: DataFrame, value: str = "valeur") -> DataFrame:
     """
     rows = values.select(F.col(value).cast("string").alias("value")).filter(F.col("value").rlike(r"[^\s\p{Z}]")).distinct()
     parsed = durable(spread(rows, "value").mapInArrow(_parse, "value STRING, number STRING, name STRING, rest STRING"))
-    streets = parsed.groupBy("number", "name").agg(F.max_by("rest", F.length("rest")).alias("rest"), F.count("*").alias("support"))
+    # a street of several towns has a row for each: a misread name may be of any of them
+    total = parsed.groupBy("number", "name").agg(F.count("*").alias("support"))
+    streets = parsed.select("number", "name", "rest").distinct().join(total, ["number", "name"])
     signed = spread(streets, "number", "name").mapInArrow(_sign, "bucket BIGINT, number STRING, name STRING, rest STRING, support BIGINT")
-    ordered = signed.repartition("bucket").sortWithinPartitions("bucket", F.desc("support"), "number", "name").drop("support")
+    ordered = signed.repartition("bucket").sortWithinPartitions("bucket", F.desc("support"), "number", "name", F.desc(F.length("rest")), "rest").drop("support")
     edges = ordered.mapInArrow(_link, "a STRING, b STRING")
     classes = consolidate(edges)
     key = F.concat_ws(" ", "number", "name")

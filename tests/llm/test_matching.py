@@ -187,3 +187,10 @@ def test_two_edits_of_a_root_with_several_spellings(spark):
     df = spark.createDataFrame([(PERSON, v) for v in lead + misread], "famille STRING, valeur STRING")
     givens = spark.createDataFrame([(g.upper(),) for g in GIVEN], "valeur STRING")
     assert len({r.entity_id for r in link_names(df, givens).collect()}) == 1
+
+
+def test_misread_street_of_another_town_than_the_longest(spark):
+    long, short = "44, Impasse Mefakioume, Quartier Bellevue, 18260 Khemis Rtal", "44, Impasse Mefakioume, Borj, 11750 Sidi Aghbal"
+    misread = "44, Impasse Mefqkioume, Borj, 11750 Sidi Aghbal"
+    got = {r.value: r.place_id for r in address_classes(spark.createDataFrame([(v,) for v in (long, short, "44 impasse mefakioume", misread)], "valeur STRING")).collect()}
+    assert got[short] == got[misread] != got[long]
