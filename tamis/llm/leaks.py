@@ -12,18 +12,18 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Consecutive words that make a leak.
 LEAST = 12
-#: Words of items in one automaton: the bound of what is broadcast. More items make more blocks, and a pass for each.
-BLOCK_WORDS = 100_000
+#: Words of items in one automaton, and automata that a worker holds at once. More items make more blocks; the result is the same.
+BLOCK_WORDS, HELD_BLOCKS = 100_000, 8
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -148,23 +148,25 @@ def leaked(automaton: Automaton, text: str) -> dict[int, list[int]]:
     return found
 
 
-def spans(automaton: Automaton, text: str) -> list[tuple[int, int]]:
-    """Word ranges of a text that lie in shared runs, merged."""
+def spans(automata: Iterable[Automaton], text: str) -> list[tuple[int, int]]:
+    """Word ranges of a text that lie in runs shared with any of the automata, merged."""
+    tokens = words(text)
+    found = sorted((end - length, end) for automaton in automata for end, length, _ in automaton.matches(tokens))
     out: list[list[int]] = []
-    for end, length, _ in automaton.matches(words(text)):
-        if out and end - length <= out[-1][1]:
-            out[-1] = [min(out[-1][0], end - length), end]
+    for a, z in found:
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], z)
         else:
-            out.append([end - length, end])
+            out.append([a, z])
     return [(a, z) for a, z in out]
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[int, list[str]]]]:
-    """The items in blocks of about block_words words; the driver holds one block at a time."""
+def _blocks(items: DataFrame, item_id: str, text: str, least: int, block_words: int) -> Iterator[list[tuple[int, list[str]]]]:
+    """The items of at least `least` words in blocks of about block_words words; the driver holds one block at a time."""
     block, size = [], 0
     for row in items.select(F.col(item_id).cast("bigint"), F.col(text).cast("string")).distinct().toLocalIterator():
         tokens = words(row[1] or "")
-        if row[0] is None or len(tokens) < LEAST:
+        if row[0] is None or len(tokens) < least:
             continue
         block.append((row[0], tokens))
         size += len(tokens)
@@ -175,32 +177,39 @@ def _blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> Iter
         yield block
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=HELD_BLOCKS)
 def _automaton(key: tuple, least: int) -> Automaton:
     return Automaton([(i, list(t)) for i, t in key], least)
 
 
-def _search(shared, least: int, with_spans: bool):
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("longest", pa.int32()), ("covered", pa.int32())])
-    clean = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("removed", pa.int32()), ("n_words", pa.int32())])
+def _automata(shared: list, least: int) -> Iterator[Automaton]:
+    """One automaton after the other; a worker keeps HELD_BLOCKS of them and builds further ones again for each batch."""
+    return (_automaton(block.value, least) for block in shared)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(shared.value, least)
+
+_FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("longest", pa.int32()), ("covered", pa.int32())])
+_CLEAN = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("removed", pa.int32()), ("n_words", pa.int32())])
+
+
+def _find(shared: list, least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if (t := text.as_py()) is not None:
-                    rows += [(doc, item, *run) for item, run in leaked(automaton, t).items()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(shared.value, least)
+            ids = batch.column(0).to_pylist()
+            for automaton in _automata(shared, least):
+                rows = [(doc, item, *hit) for doc, text in zip(ids, batch.column(1)) for item, hit in leaked(automaton, text.as_py()).items()]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FOUND)], schema=_FOUND)
+
+    return run
+
+
+def _cut(shared: list, least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(doc, *without_spans(automaton, t.as_py())) for doc, t in zip(batch.column(0).to_pylist(), batch.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(clean)], schema=clean)
+            rows = [(doc, *without_shared(lambda: _automata(shared, least), t.as_py())) for doc, t in zip(batch.column(0).to_pylist(), batch.column(1))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_CLEAN)], schema=_CLEAN)
 
-    return cut if with_spans else find
+    return run
 
 
 def word_places(text: str) -> list[tuple[int, int]]:
@@ -216,15 +225,21 @@ def word_places(text: str) -> list[tuple[int, int]]:
 
 
 def without_spans(automaton: Automaton, text: str | None) -> tuple[str | None, int, int]:
-    """The text without its leaked spans, how many words went, how many there were.
+    """without_shared() of one automaton."""
+    return without_shared(lambda: [automaton], text)
+
+
+def without_shared(automata: Callable[[], Iterable[Automaton]], text: str | None) -> tuple[str | None, int, int]:
+    """The text without the spans that it shares with any automaton, how many words went, how many there were.
 
-    What is left on both sides of a span may form a new run, so this goes on until there is none.
+    What is left on both sides of a span may form a new run, with an item of any automaton, so all are asked again until
+    none finds a span. How the items are spread over automata makes no difference.
     """
     if text is None:
         return None, 0, 0
     removed = 0
     while True:
-        found = spans(automaton, text)
+        found = spans(automata(), text)
         if not found:
             return text, removed, len(words(text)) + removed
         places = word_places(text)
@@ -238,49 +253,47 @@ def without_spans(automaton: Automaton, text: str | None) -> tuple[str | None, i
         removed += sum(z - a for a, z in found)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = LEAST, block_words: int = BLOCK_WORDS) -> DataFrame:
+def _shared(spark: SparkSession, blocks: Iterator[list[tuple[int, list[str]]]]) -> list:
+    return [spark.sparkContext.broadcast(tuple((i, tuple(t)) for i, t in block)) for block in blocks]
+
+
+def find_leaks(
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = LEAST, block_words: int = BLOCK_WORDS
+) -> DataFrame:
     """(doc_id, item_id, longest, covered): each document with each item of which it has `least` consecutive words.
 
-    longest is the longest shared run in words, covered how many words of the document lie in runs shared with the item. Null and empty texts match nothing, nor do items shorter than `least`
-    words or without an id. Repeated rows give one row; items with equal texts are all reported. Extra columns are ignored.
+    longest is the longest shared run in words, covered how many words of the document lie in runs shared with the item.
+    Null and empty texts match nothing, nor do items shorter than `least` words or without an id. Repeated rows give one
+    row; items with equal texts are all reported. Extra columns are ignored. The corpus is read once, whatever the
+    number of items.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).filter(F.length("text") > 0)
-    out = None
-    for block in _blocks(items, item_id, item_text, block_words):
-        shared = spark.sparkContext.broadcast(tuple((i, tuple(t)) for i, t in block))
-        part = rows.mapInArrow(_search(shared, least, False), "doc_id BIGINT, item_id BIGINT, longest INT, covered INT")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    shared = _shared(spark, _blocks(items, item_id, item_text, least, block_words))
+    if not shared:
         return spark.createDataFrame([], "doc_id BIGINT, item_id BIGINT, longest INT, covered INT")
-    return out.groupBy("doc_id", "item_id").agg(F.max("longest").alias("longest"), F.max("covered").alias("covered"))
-
-
-def remove_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = LEAST, most_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
+    found = rows.mapInArrow(_find(shared, least), "doc_id BIGINT, item_id BIGINT, longest INT, covered INT")
+    return found.groupBy("doc_id", "item_id").agg(F.max("longest").alias("longest"), F.max("covered").alias("covered"))
+
+
+def remove_leaks(
+    docs: DataFrame,
+    items: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    least: int = LEAST,
+    most_coverage: float = 0.5,
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
     """(doc_id, text, removed, dropped): each document without the spans of `least` or more words that it shares with an item.
 
     Where the spans hold more than most_coverage of the words, the whole text goes: text is null and dropped true. Null
-    texts stay null. One row for each row of docs; the items' blocks are applied one after the other.
+    texts stay null. One row for each row of docs. No text that is left has a run of `least` words of any item.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), F.lit(0).alias("removed"), F.lit(0).alias("n_words"))
-    done = rows
-    for k, block in enumerate(_blocks(items, item_id, item_text, block_words)):
-        shared = spark.sparkContext.broadcast(tuple((i, tuple(t)) for i, t in block))
-        done = done.mapInArrow(_cut_again(shared, least), "doc_id BIGINT, text STRING, removed INT, n_words INT")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    shared = _shared(docs.sparkSession, _blocks(items, item_id, item_text, least, block_words))
+    done = rows.mapInArrow(_cut(shared, least), "doc_id BIGINT, text STRING, removed INT, n_words INT")
     dropped = F.col("removed") > F.col("n_words") * most_coverage
     return done.select("doc_id", F.when(~dropped, F.col("text")).alias("text"), "removed", dropped.alias("dropped"))
-
-
-def _cut_again(shared, least: int):
-    """Removes one block's spans; the counts of earlier blocks are kept."""
-    cut = _search(shared, least, True)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for new in cut(iter([batch])):
-                removed = np.asarray(batch.column(2)) + np.asarray(new.column(2))
-                first = np.maximum(np.asarray(batch.column(3)), np.asarray(new.column(3)))
-                yield pa.RecordBatch.from_arrays([new.column(0), new.column(1), pa.array(removed, pa.int32()), pa.array(first, pa.int32())], ["doc_id", "text", "removed", "n_words"])
-
-    return run

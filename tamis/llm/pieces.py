@@ -85,6 +85,16 @@ def _classify(limit: int, name: str, folder: str):
     return run
 
 
+def _count(name: str, folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(name, folder)
+        for batch in batches:
+            counts = [len(enc.encode_ordinary(t.as_py())) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int32())], ["doc_id", "text", "n_tokens"])
+
+    return run
+
+
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -108,15 +118,13 @@ def _slice(limit: int, overlap: int, name: str, folder: str):
         enc = encoding(name, folder)
         for batch in batches:
             rows, size = [], 0
-            for i, (doc, n, ranges, loose) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 4, 5)))):
+            for i, (doc, n, ranges) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 4)))):
                 text = batch.column(1)[i].as_py()
                 if not ranges:
                     parts = [(0, len(text), n)]
-                else:
+                else:  # a piece is counted as it is encoded alone: a cut may change how its two sides are
                     at = np.concatenate(([0], batch.column(3)[i].values.to_numpy()))
-                    parts = [(int(at[r["a"]]), int(at[r["z"]]), r["z"] - r["a"]) for r in ranges]
-                    if loose:  # a cut inside a word may change how its two parts are encoded
-                        parts = [p for a, z, _ in parts for p in fitting(text, a, z, limit, overlap, enc)]
+                    parts = [p for r in ranges for p in fitting(text, int(at[r["a"]]), int(at[r["z"]]), limit, overlap, enc)]
                 for k, (a, z, tokens) in enumerate(parts, 1):
                     rows.append((doc, k, len(parts), a, z, tokens, text[a:z]))
                     size += z - a
@@ -134,13 +142,15 @@ def split_oversized(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 
     A text of at most `limit` tokens is one piece. The pieces of a larger one have at most `limit` tokens each; every
     piece after the first begins with about the last `overlap` tokens of the one before; without the overlaps they give
-    the text. n_tokens is the piece's count (null where the text's bytes already show that it fits). Null and empty texts
+    the text. n_tokens is the count of the piece, encoded alone. Null and empty texts
     give no piece; rows that repeat, or have a null id, give the pieces of each. Other columns are ignored. Cuts are
     single-row work: no shuffle.
     """
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).filter(F.length("text") > 0)
-    # a token has a byte at least
-    small = docs.filter(F.octet_length("text") <= limit).select("doc_id", F.lit(1).alias("piece"), F.lit(1).alias("n_pieces"), F.lit(0).alias("start"), F.length("text").alias("stop"), F.lit(None).cast("int").alias("n_tokens"), F.col("text").alias("piece_text"))
+    # a token has a byte at least, so these texts are one piece: whoever asks for cut texts only doesn't have them encoded
+    small = docs.filter(F.octet_length("text") <= limit).mapInArrow(_count(tokenizer, folder), "doc_id BIGINT, text STRING, n_tokens INT")
+    one = F.lit(1)
+    small = small.select("doc_id", one.alias("piece"), one.alias("n_pieces"), F.lit(0).alias("start"), F.length("text").alias("stop"), "n_tokens", F.col("text").alias("piece_text"))
     marked = docs.filter(F.octet_length("text") > limit).mapInArrow(_classify(limit, tokenizer, folder), "doc_id BIGINT, text STRING, n_tokens INT, classes STRING, places ARRAY<INT>")
     cores = F.transform(F.regexp_extract_all("classes", F.lit(pattern(limit, overlap)), F.lit(0)), F.length)
     ends = F.aggregate(cores, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
@@ -151,11 +161,10 @@ def split_oversized(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
         window = F.substring(F.col("classes"), cut - back + 1, back)
         lead = F.length(F.regexp_extract(window, f"^(?:[{INSIDE}{CHARACTER}]{{0,{overlap // 2}}}[{PARAGRAPH}{LINE}{SENTENCE}{WORD}]|{INSIDE}*[^{INSIDE}])", 0))
         start = F.when(cut == 0, 0).when(back < overlap, 0).otherwise(cut - back + lead)
-        loose = F.substring(F.col("classes"), end, F.lit(1)).isin(CHARACTER, INSIDE) | ((start > 0) & F.substring(F.col("classes"), start, F.lit(1)).isin(CHARACTER, INSIDE))
-        return F.struct(start.cast("int").alias("a"), end.cast("int").alias("z"), loose.alias("loose"))
+        return F.struct(start.cast("int").alias("a"), end.cast("int").alias("z"))
 
     big = F.col("n_tokens") > limit
     cut = marked.withColumn("ends", F.when(big, ends)).withColumn("pieces", F.when(big, F.transform(F.sequence(F.lit(1), F.size("ends") - 1), piece)))
-    cut = cut.select("doc_id", "text", "n_tokens", "places", F.transform("pieces", lambda p: F.struct(p["a"].alias("a"), p["z"].alias("z"))).alias("ranges"), F.coalesce(F.exists("pieces", lambda p: p["loose"]), F.lit(False)).alias("loose"))
+    cut = cut.select("doc_id", "text", "n_tokens", "places", F.col("pieces").alias("ranges"))
     large = cut.mapInArrow(_slice(limit, overlap, tokenizer, folder), "doc_id BIGINT, piece INT, n_pieces INT, start INT, stop INT, n_tokens INT, piece_text STRING")
     return large.unionByName(small)

@@ -9,7 +9,7 @@ from tamis.llm.encode import encode_corpus
 from tamis.llm.entities import COMPANY, PERSON, link_names
 from tamis.llm.groups import consolidate
 from tamis.llm.leaks import find_leaks, remove_leaks
-from tamis.llm.lists import UNMATCHED, map_to_list
+from tamis.llm.lists import UNMATCHED, entries_within, map_to_list
 from tamis.llm.pieces import split_oversized
 from tamis.session import durable, table
 
@@ -60,6 +60,13 @@ def p5_unmatched(spark, d):
     return rows.groupBy("nom_source", "valeur").agg(F.count("*").alias("nb"))
 
 
+def p5_candidates(spark, d):
+    """Every entry that an automaton reaches from a value, by different value."""
+    values = _fields(spark, d, "banque", "poste").select(F.col("valeur").alias("champ_id"), "nom_source", "valeur").distinct()
+    found = entries_within(values, table(spark, d, "ref_liste"))
+    return found.select(F.col("kind").alias("nom_source"), F.col("value").alias("valeur"), F.col("code").alias("ref_code"), F.round("score", 4).alias("score"))
+
+
 def p7_ids(spark, d):
     return encode_corpus(table(spark, d, "documents"))
 
@@ -84,7 +91,7 @@ def p9_found(spark, d):
     return p9_pieces(spark, d).filter(F.col("n_pieces") > 1).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p3_found, p4_found, p4_places, p5_found, p5_mapped, p5_unmatched, p7_ids, p8_found, p8_leaks, p8_clean, p9_pieces, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p3_found, p4_found, p4_places, p5_found, p5_mapped, p5_unmatched, p5_candidates, p7_ids, p8_found, p8_leaks, p8_clean, p9_pieces, p9_found)}
 SQL: dict[str, str] = {}
 
 SQL["p3_found"] = """

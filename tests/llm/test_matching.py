@@ -5,7 +5,7 @@ import pytest
 from tamis.llm.addresses import address_classes, agree, align, bands, class_pairs, read
 from tamis.llm.entities import COMPANY, PERSON, Companies, People, link_names
 from tamis.llm.groups import consolidate, union_find
-from tamis.llm.lists import UNMATCHED, Matcher, Trie, map_to_list
+from tamis.llm.lists import UNMATCHED, Matcher, Trie, entries_within, map_to_list
 from tamis.llm.names import osa, tokens
 
 
@@ -82,6 +82,23 @@ def test_values_of_a_list(spark):
     assert map_to_list(df.limit(0), ref).count() == 0
 
 
+def test_blocks_of_any_size_give_the_same_entries(spark):
+    ref = spark.createDataFrame(ENTRIES + [("c2", "poste", "Projet", None), ("c0", "poste", "Chef projets", None), ("c1", "poste", "Chef projets", None)], "ref_code STRING, nom_source STRING, libelle STRING, sigle STRING")
+    values = ["projet", "chef projet", "chef de projets", "Compt.", "dir. des ress. humaines", "caissière", "ch. de comm.", "ventriloque", "chef", "Chefs projet", "comptable chef (CDI)"]
+    df = spark.createDataFrame([(str(i), "poste", v) for i, v in enumerate(values)], "champ_id STRING, nom_source STRING, valeur STRING")
+    rows = lambda f, n: sorted((r.row_id, r.code, r.score) for r in f(df, ref, block_entries=n).collect())
+    whole = rows(map_to_list, 20_000)
+    assert rows(map_to_list, 1) == rows(map_to_list, 2) == rows(map_to_list, 7) == whole
+    reached = rows(entries_within, 20_000)
+    assert rows(entries_within, 1) == rows(entries_within, 3) == reached
+    # what is mapped is the first of what is reached
+    for row_id, code, score in whole:
+        own = sorted((-s, c) for i, c, s in reached if i == row_id)
+        assert code == UNMATCHED or own[0] == (-score, code)
+    assert {c for i, c, _ in reached if i == "8"} >= {"P2", "P6", "c0", "c1"}
+    assert entries_within(df, ref.limit(0)).count() == 0 and entries_within(df.limit(0), ref).count() == 0
+
+
 def test_ties_take_the_smallest_code():
     assert Matcher([("Z", "Cadre bancaire", None), ("A", "Cadre bancaire", None)]).best("cadre bancaire")[0] == "A"
 

@@ -106,12 +106,34 @@ def test_spans_go_until_none_is_left(spark, items):
     assert without_spans(a, "Là — Un, deux, trois, quatre, cinq, six, sept, huit, neuf, dix, onze, dóuzé! ici")[0] == "Là —  ! ici"
 
 
+def test_short_items_are_found_with_a_smaller_least(spark):
+    nine = "un deux trois quatre cinq six sept huit neuf"
+    d = spark.createDataFrame([(1, f"avant {nine} après"), (2, "un deux trois")], "doc_id BIGINT, text STRING")
+    it = spark.createDataFrame([(7, nine), (8, "un deux trois quatre")], "item_id BIGINT, text STRING")
+    assert [(r.doc_id, r.item_id, r.longest) for r in find_leaks(d, it, least=8).collect()] == [(1, 7, 9)]
+    assert find_leaks(d, it, least=10).count() == 0
+    assert {r.doc_id: r.removed for r in remove_leaks(d, it, least=8).collect()} == {1: 9, 2: 0}
+
+
+def test_cleaned_texts_are_the_same_for_blocks_of_any_size(spark, items):
+    docs = documents(items)
+    # the cut of one item joins the two halves of another
+    first, second = "a b c d e f g h i j k l", "m n o p q r s t u v w x"
+    half = second.split()
+    docs.append((1000, " ".join([*half[:6], first, *half[6:]])))
+    both = [*items, (500, first), (501, second)]
+    d, it = spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), spark.createDataFrame(both, "item_id BIGINT, text STRING")
+    clean = lambda n: sorted((r.doc_id, r.text, r.removed) for r in remove_leaks(d, it, most_coverage=1.0, block_words=n).filter("text IS NOT NULL").collect())
+    whole = clean(100_000)
+    assert dict((k, t) for k, t, _ in whole)[1000].strip() == "" and clean(1) == clean(70) == whole
+
+
 def check_pieces(text, got, limit, overlap):
     enc = encoding()
     last, out = 0, ""
     for k, r in enumerate(got):
         assert (r.piece, r.n_pieces) == (k + 1, len(got)) and text[r.start : r.stop] == r.piece_text and r.start <= last
-        assert len(enc.encode_ordinary(r.piece_text)) <= limit
+        assert r.n_tokens == len(enc.encode_ordinary(r.piece_text)) <= limit
         if k:
             assert 0 < last - r.start and len(enc.encode_ordinary(text[r.start : last])) <= overlap + 8
         out += text[last : r.stop]
