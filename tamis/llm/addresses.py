@@ -24,7 +24,7 @@ from tamis.llm.names import fold, letters, osa
 from tamis.session import durable, spread
 
 #: MinHash: bands and rows of each. Two streets that share half their shingles meet with a probability above 0.99.
-BANDS, ROWS = 36, 3
+BANDS, ROWS = 40, 3
 #: Affine gaps: a missing part costs little, and hardly more if it is long; a word in common is worth a gap on both sides.
 GAP_OPEN, GAP_EXTEND, MISMATCH, REWARD, MOST_COST = 0.3, 0.05, 1.5, 0.6, 0.9
 
@@ -115,6 +115,18 @@ def read(text: str) -> tuple[str, str, tuple[str, ...]]:
     return number, name, tuple(sorted(set(rest), key=lambda w: (w[0].isdigit(), w)))
 
 
+_QUARTER = re.compile(r"(?:\b(?:" + "|".join(sorted(QUARTERS, key=len, reverse=True)) + r")\b[\s.]*)+([^,;/|\d–—-]*)([,;/|\d–—-]?)")
+
+
+def quarter_words(text: str) -> frozenset[str]:
+    """The words written as a quarter: after its sign, up to a separator or figure; the first only where none follows."""
+    out: set[str] = set()
+    for found, end in _QUARTER.findall(fold(text)):
+        words = [letters(w) for w in _TOKEN.findall(found) if w not in IGNORED and w not in QUARTERS]
+        out.update(words if end else words[:1])
+    return frozenset(out)
+
+
 def edits_allowed(length: int) -> int:
     return 0 if length < 4 else 1 if length < 8 else 2
 
@@ -153,35 +165,67 @@ def align(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, int]:
     return best[n][0], -best[n][1]
 
 
-def agree(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
-    """Do two lists of quarter, town and code words allow the same place? Missing parts do, opposed ones don't."""
+@lru_cache(maxsize=100_000)
+def likeness(a: tuple[str, ...], b: tuple[str, ...], quarter_a: frozenset[str] = frozenset(), quarter_b: frozenset[str] = frozenset()) -> float | None:
+    """How much two lists of quarter, town and code words have in common; None where they oppose each other.
+
+    A side without any word allows all, and so does a code beside words. Two different codes oppose each other. So do words
+    that have no partner on either side, such as two towns, unless one side's were written as a quarter (quarter_a,
+    quarter_b) and the other's weren't: then each side misses what the other has.
+    """
     if not a or not b:
-        return True
-    cost, matched = align(a, b)
-    if matched:
-        return cost <= MOST_COST
-    codes = [next((w for w in x if len(w) == 5 and w.isdigit()), None) for x in (a, b)]
-    return not all(codes) and min(len(a), len(b)) < 3
+        return 0.0
+    (words_a, code_a), (words_b, code_b) = _split(a), _split(b)
+    same_code = bool(code_a and code_b)
+    if same_code and osa(code_a, code_b, 1) > 1:
+        return None
+    if not words_a or not words_b:
+        return float(same_code)
+    left, right = _alone(words_a, words_b), _alone(words_b, words_a)
+    if (left - quarter_a and right - quarter_b) or (left & quarter_a and right & quarter_b):
+        return None
+    cost, _ = align(words_a, words_b)
+    if left and right and not same_code and cost > MOST_COST:
+        return None
+    return same_code + sum(max(0.0, 1 - min(same_word(w, x) for x in words_b)) for w in words_a)
+
+
+def _alone(words: tuple[str, ...], others: tuple[str, ...]) -> frozenset[str]:
+    """Words of three letters or more that no other word may stand for."""
+    return frozenset(w for w in words if len(w) > 2 and all(same_word(w, x) >= MISMATCH and osa(w, x, 1) > 1 for x in others))
+
+
+def agree(a: tuple[str, ...], b: tuple[str, ...], quarter_a: frozenset[str] = frozenset(), quarter_b: frozenset[str] = frozenset()) -> bool:
+    """Do two lists of quarter, town and code words allow the same place? Missing parts do, opposed ones don't."""
+    return likeness(a, b, quarter_a, quarter_b) is not None
+
+
+def _split(rest: tuple[str, ...]) -> tuple[tuple[str, ...], str]:
+    """(words, postal code or '')"""
+    return tuple(w for w in rest if not w.isdigit() or len(w) != 5), next((w for w in rest if w.isdigit() and len(w) == 5), "")
 
 
-def same_street(a: str, b: str, rest_a: tuple[str, ...], rest_b: tuple[str, ...]) -> bool:
+def same_street(a: str, b: str, rest_a: tuple[str, ...], rest_b: tuple[str, ...], quarter_a: frozenset[str] = frozenset(), quarter_b: frozenset[str] = frozenset()) -> bool:
     """Names of streets with the same number: equal, or misread and not in opposed towns."""
     most = edits_allowed(min(len(a), len(b)))
-    return a == b or (osa(a, b, most) <= most and agree(rest_a, rest_b))
+    return a == b or (osa(a, b, most) <= most and agree(rest_a, rest_b, quarter_a, quarter_b))
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = batch.column(0).to_pylist()
         parts = [read(v) for v in values]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _, _ in parts], pa.string()), pa.array([s for _, s, _ in parts], pa.string()), pa.array([" ".join(r) for _, _, r in parts], pa.string())], ["value", "number", "name", "rest"])
+        quarters = [" ".join(sorted(quarter_words(v) & set(rest))) for v, (_, _, rest) in zip(values, parts)]
+        columns = [[n for n, _, _ in parts], [s for _, s, _ in parts], [" ".join(r) for _, _, r in parts], quarters]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in columns)], ["value", "number", "name", "rest", "quarter"])
 
 
-def shingles(number: str, name: str) -> list[str]:
-    """The name, and its q-grams of 2 and 3 letters with marked ends; all with the number."""
+def shingles(number: str, name: str, rest: str = "") -> list[str]:
+    """The name, its q-grams of 2 and 3 letters with marked ends, and the words of quarter and town; all with the number. A word
+    of the town is one shingle beside some twenty of the name, so an address without it still meets the others."""
     padded = f"^{name}$"
     grams = {padded[i : i + q] for q in (2, 3) for i in range(len(padded) - q + 1)}
-    return [f"{number}|{g}" for g in (*grams, padded)]
+    return [f"{number}|{g}" for g in (*grams, padded, *(f"^{w}$" for w in rest.split() if w != name))]
 
 
 _RANDOM = np.random.default_rng(20)
@@ -189,19 +233,19 @@ _A = (_RANDOM.integers(1, 1 << 62, BANDS * ROWS, np.uint64) << np.uint64(1)) | n
 _B = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 
-def bands(number: str, name: str) -> list[int]:
+def bands(number: str, name: str, rest: str = "") -> list[int]:
     """One signed 64-bit bucket for each band."""
-    h = np.array([xxhash.xxh3_64_intdigest(s) for s in shingles(number, name)], np.uint64)
+    h = np.array([xxhash.xxh3_64_intdigest(s) for s in shingles(number, name, rest)], np.uint64)
     least = (h[:, None] * _A + _B).min(axis=0)
     return [xxhash.xxh3_64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) - (1 << 63) for k in range(BANDS)]
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        numbers, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        found = np.array([bands(n, s) for n, s in zip(numbers, names)], np.int64).reshape(-1)
+        numbers, names, rests = (batch.column(i).to_pylist() for i in range(3))
+        found = np.array([bands(*street) for street in zip(numbers, names, rests)], np.int64).reshape(-1)
         rows = pa.array(np.repeat(np.arange(len(names)), BANDS))
-        yield pa.RecordBatch.from_arrays([pa.array(found), *(batch.column(i).take(rows) for i in range(4))], ["bucket", "number", "name", "rest", "support"])
+        yield pa.RecordBatch.from_arrays([pa.array(found), *(batch.column(i).take(rows) for i in range(5))], ["bucket", "number", "name", "rest", "quarter", "support"])
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,56 +254,61 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bucket, leaders = None, {}
     for batch in batches:
         found = {}
-        for b, number, name, rest in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for b, number, name, rest, quarter in zip(*(batch.column(i).to_pylist() for i in range(5))):
             if b != bucket:
                 bucket, leaders = b, {}
-            words = tuple(rest.split())
-            fits = [x for (n, x), rests in leaders.items() if n == number and x != name and any(same_street(x, name, r, words) for r in rests)]
+            words, own = tuple(rest.split()), frozenset(quarter.split())
+            fits = [x for (n, x), rests in leaders.items() if n == number and x != name and any(same_street(x, name, r, words, q, own) for r, q in rests)]
             if fits:
                 lead = min(fits, key=lambda x: (osa(x, name, 3), x))
                 found[f"{number} {lead}", f"{number} {name}"] = None
             if not fits or (number, name) in leaders:
-                leaders.setdefault((number, name), []).append(words)
+                leaders.setdefault((number, name), []).append((words, own))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.string())], ["a", "b"])
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by class and fullness: members that oppose each other on quarter or town part into places."""
+    """Over different rests of classes, sorted by class and fullness: members that oppose each other on quarter or town part into
+    places; of several places a member joins the one it has most in common with. Place -1 is for a rest that several allow alike."""
     group, leaders = None, []
     for batch in batches:
         places = []
-        for g, rest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for g, rest, quarter in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if g != group:
                 group, leaders = g, []
-            words = tuple(rest.split())
-            k = next((k for k, x in enumerate(leaders) if agree(x, words)), len(leaders))
-            if k == len(leaders):
-                leaders.append(words)
-            places.append(k)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.int32()), batch.column(2)], ["class", "place", "value"])
+            words, own = tuple(rest.split()), frozenset(quarter.split())
+            fits = sorted(((x, k) for k, (r, q) in enumerate(leaders) if (x := likeness(r, words, q, own)) is not None), reverse=True)
+            if not fits:
+                leaders.append((words, own))
+            places.append(len(leaders) - 1 if not fits else fits[0][1] if len(fits) == 1 or fits[0][0] > fits[1][0] else -1)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int32())], ["class", "rest", "quarter", "place"])
 
 
 def address_classes(values: DataFrame, value: str = "valeur") -> DataFrame:
     """(value, place_id): every different non-blank address with an identifier of its place.
 
     Null and blank values give no row; repeated rows count once. Addresses without a number share a place only with others
-    without one. Extra columns are ignored. An empty table gives no rows.
+    without one. An address whose quarter and town several places of its number and street allow, or that has none where
+    there are several, is a place of its own. Extra columns are ignored. An empty table gives no rows. Of a street and
+    number, the different writings of quarter and town come together in one task; the addresses themselves don't.
     """
     rows = values.select(F.col(value).cast("string").alias("value")).filter(F.col("value").rlike(r"[^\s\p{Z}]")).distinct()
-    parsed = durable(spread(rows, "value").mapInArrow(_parse, "value STRING, number STRING, name STRING, rest STRING"))
+    parsed = durable(spread(rows, "value").mapInArrow(_parse, "value STRING, number STRING, name STRING, rest STRING, quarter STRING"))
     # a street of several towns has a row for each: a misread name may be of any of them
     total = parsed.groupBy("number", "name").agg(F.count("*").alias("support"))
-    streets = parsed.select("number", "name", "rest").distinct().join(total, ["number", "name"])
-    signed = spread(streets, "number", "name").mapInArrow(_sign, "bucket BIGINT, number STRING, name STRING, rest STRING, support BIGINT")
-    ordered = signed.repartition("bucket").sortWithinPartitions("bucket", F.desc("support"), "number", "name", F.desc(F.length("rest")), "rest").drop("support")
+    streets = parsed.select("number", "name", "rest", "quarter").distinct().join(total, ["number", "name"])
+    signed = spread(streets, "rest", "name", "number").mapInArrow(_sign, "bucket BIGINT, number STRING, name STRING, rest STRING, quarter STRING, support BIGINT")
+    ordered = signed.repartition("bucket").sortWithinPartitions("bucket", F.desc("support"), "number", "name", F.desc(F.length("rest")), "rest", "quarter").drop("support")
     edges = ordered.mapInArrow(_link, "a STRING, b STRING")
     classes = consolidate(edges)
     key = F.concat_ws(" ", "number", "name")
-    named = parsed.withColumn("v", key).join(classes, "v", "left").select(F.coalesce("r", "v").alias("class"), "rest", "value")
-    ordered = named.repartition("class").sortWithinPartitions("class", F.desc(F.length("rest")), "rest", "value")
-    placed = ordered.mapInArrow(_places, "class STRING, place INT, value STRING")
-    return placed.select("value", F.concat_ws("#", "class", "place").alias("place_id"))
+    named = parsed.withColumn("v", key).join(classes, "v", "left").select(F.coalesce("r", "v").alias("class"), "rest", "quarter", "value")
+    rests = named.select("class", "rest", "quarter").distinct()
+    ordered = rests.repartition("class").sortWithinPartitions("class", F.desc(F.size(F.split("rest", " "))), F.desc(F.length("rest")), "rest", "quarter")
+    placed = ordered.mapInArrow(_places, "class STRING, rest STRING, quarter STRING, place INT")
+    own = F.when(F.col("place") >= 0, F.concat_ws("#", "class", "place")).otherwise(F.concat_ws("|", F.lit("?"), "value"))
+    return named.join(placed, ["class", "rest", "quarter"]).select("value", own.alias("place_id"))
 
 
 def class_pairs(classes: DataFrame, group: str, value: str = "value", keep: list[str] = ()) -> DataFrame:
