@@ -1,8 +1,9 @@
-"""Similarity of texts: set measures as expressions, the sequence ratio as a vectorised UDF on different pairs only."""
+"""Similarity of texts: set measures as expressions, the sequence ratio as a vectorised UDF where they leave it open."""
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,10 +14,16 @@ from pyspark.sql.types import DoubleType
 from tamis.functions.text import words
 
 
+@lru_cache(maxsize=100_000)
+def _ratio(a: str, b: str) -> float:
+    return SequenceMatcher(None, a, b).ratio()
+
+
 @pandas_udf(DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of two texts, in the order given: it isn't symmetric. Null with null."""
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    """Ratcliff-Obershelp ratio of two texts, in the order given: it isn't symmetric. Null with null. Each worker keeps the ratios of
+    the pairs it saw last."""
+    return pd.Series([None if x is None or y is None else _ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -38,7 +45,7 @@ def add_text_similarity(df: DataFrame, a: str, b: str, out: str = "similarity",
     """df with the similarity of two normalised texts: the greatest of containment, Jaccard and the ratio of their sorted words.
 
     Blank or null texts give 0. With `numbers`, texts whose numbers differ give 0 where both have some. Only pairs that the
-    set measures leave below 1 reach the UDF, each different pair once. a, b and out must be the only columns of their names.
+    set measures leave below 1 are rated by the UDF, in place: no shuffle.
     """
     x, y = F.col(a), F.col(b)
     if numbers:
@@ -46,11 +53,11 @@ def add_text_similarity(df: DataFrame, a: str, b: str, out: str = "similarity",
     else:
         differ = F.lit(False)
     native = F.coalesce(F.when(differ, 0.0).otherwise(F.greatest(containment(x, y), jaccard(x, y))), F.lit(0.0))
-    rated = df.withColumn("_native", native).withColumn("_ask", F.coalesce((native < 1) & ~differ & (F.trim(x) != "") & (F.trim(y) != ""), F.lit(False)))
+    ask = F.coalesce((native < 1) & ~differ & (F.trim(x) != "") & (F.trim(y) != ""), F.lit(False))
     ordered = lambda c: F.array_join(F.array_sort(F.filter(F.split(c, " "), lambda w: w != "")), " ")
-    asked = rated.filter("_ask").select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct().withColumn("_ratio", seq_ratio(ordered(F.col("_a")), ordered(F.col("_b"))))
-    joined = rated.join(asked, F.col("_ask") & (F.col(a) == F.col("_a")) & (F.col(b) == F.col("_b")), "left")
-    return joined.withColumn(out, F.round(F.greatest("_native", F.coalesce("_ratio", F.lit(0.0))), 6)).drop("_native", "_ask", "_ratio", "_a", "_b")
+    # the ratio is asked where the rows are; a pair that needs none is null to it
+    ratio = seq_ratio(F.when(ask, ordered(x)), F.when(ask, ordered(y)))
+    return df.withColumn("_native", native).withColumn("_ratio", ratio).withColumn(out, F.round(F.greatest("_native", F.coalesce("_ratio", F.lit(0.0))), 6)).drop("_native", "_ratio")
 
 
 def add_employer_similarity(df: DataFrame, label: str, employer: str, out: str = "similarity") -> DataFrame:
@@ -60,6 +67,5 @@ def add_employer_similarity(df: DataFrame, label: str, employer: str, out: str =
     held = F.contains(compact(label), compact(employer)) & (compact(employer) != "")
     recall = F.when(F.size(words(F.col(employer))) > 0, F.size(F.array_intersect(words(F.col(label)), words(F.col(employer)))) / F.size(words(F.col(employer)))).otherwise(0.0)
     rated = df.withColumn("_native", F.coalesce(F.when(held, 1.0).otherwise(recall), F.lit(0.0)))
-    asked = rated.filter("_native < 1").select(F.col(label).alias("_a"), F.col(employer).alias("_b")).distinct().withColumn("_ratio", seq_ratio("_a", "_b"))
-    joined = rated.join(asked, (F.col(label) == F.col("_a")) & (F.col(employer) == F.col("_b")) & (F.col("_native") < 1), "left")
-    return joined.withColumn(out, F.round(F.greatest("_native", F.coalesce("_ratio", F.lit(0.0))), 6)).drop("_native", "_ratio", "_a", "_b")
+    ratio = seq_ratio(F.when(F.col("_native") < 1, F.col(label)), F.when(F.col("_native") < 1, F.col(employer)))
+    return rated.withColumn("_ratio", ratio).withColumn(out, F.round(F.greatest("_native", F.coalesce("_ratio", F.lit(0.0))), 6)).drop("_native", "_ratio")

@@ -15,10 +15,16 @@ DOC_TYPES = {"RELEVE": "RELEVE_BANCAIRE", "BULLETIN": "BULLETIN_SALAIRE", "BULLE
 FIELD_NAMES = {"cin_numero": "CIN", "cin": "CIN", "net_a_payer": "NET_A_PAYER", "nom_employe": "NOM_EMPLOYE"}
 
 
-def latest(df: DataFrame, keys: list[str], order: str = "loaded_at") -> DataFrame:
-    """One row for each key: the last by `order`, nulls first. Rows that tie in order are taken by their smallest hash, so
-    the choice doesn't depend on where they lie. Null keys are keys. The window is on the keys: rows that repeat are few."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last(), F.xxhash64(*[c for c in df.columns if c not in keys]))
+def latest(df: DataFrame, keys: list[str], order: str = "loaded_at", same: tuple[str, ...] = (), ties: tuple[str, ...] | None = None) -> DataFrame:
+    """One row for each key: the last by `order`, nulls first. Null keys are keys.
+
+    Rows that tie in order are taken by the smallest hash of `ties`, by default of all other columns, so the choice doesn't
+    depend on where they lie; with no ties at all, such rows must be equal. `same` names columns that are the same in all rows
+    of a key: filters on them, and on the keys, reach the scan, and rows of a null key spread by them. With both given, only
+    the columns that a query needs are read and moved. Copies are dropped before the exchange where they lie together.
+    """
+    others = [c for c in df.columns if c not in keys] if ties is None else ties
+    w = Window.partitionBy(*keys, *same).orderBy(F.col(order).desc_nulls_last(), *([F.xxhash64(*others)] if others else []))
     return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
 

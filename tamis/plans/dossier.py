@@ -35,13 +35,17 @@ def query(sql: str | None = None, once: bool = True):
     return add
 
 
+# Rows loaded again have the values of the first load, so the attributes of a row are the same in all of its copies: filters on
+# them reach the scan, and only the columns of a query are read.
+
+
 def champ(spark, d):
     """The fields, loaded again or not, once each."""
-    return fields.latest(table(spark, d, "champ").drop("evidence_texts"), ["champ_id"])
+    return fields.latest(table(spark, d, "champ").drop("evidence_texts"), ["champ_id"], same=("nom_source", "doc_type", "dossier_id"), ties=())
 
 
 def txn(spark, d):
-    return fields.latest(table(spark, d, "txn"), ["transaction_id"])
+    return fields.latest(table(spark, d, "txn"), ["transaction_id"], same=("dossier_id", "est_salaire"), ties=())
 
 
 def documents(spark, d):
