@@ -7,14 +7,19 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tamis.functions.text import upper_words
+
 #: Likeness of two texts at least a, relative difference of two amounts at most a, days between two dates at most a.
 TEXT_LADDER = ((0.95, 0.0), (0.85, 0.25), (0.70, 0.60))
 AMOUNT_LADDER = ((0.02, 0.0), (0.05, 0.25), (0.10, 0.50), (0.20, 0.75))
 DATE_LADDER = ((0, 0.0), (31, 0.25), (365, 0.60))
 GROUP_LADDER = ((1, 0.0), (2, 0.25), (3, 0.50))
 #: Probability of each grade of an anomaly, and of one that isn't known.
-GRADES = {"FAIBLE": 0.20, "MOYENNE": 0.40, "FORTE": 0.70, "TRES FORTE": 0.90}
+GRADES = {"FAIBLE": 0.20, "MOYENNE": 0.40, "FORTE": 0.70, "TRES_FORTE": 0.90}
 UNKNOWN_GRADE = 0.40
+#: Weights of the signals, and the least fused scores of an extra check and of an escalation.
+FUSION_WEIGHTS = {"business": 0.2028, "intra": 0.2551, "inter": 0.1769, "llm": 0.1625, "visual": 0.2027}
+FUSION_BANDS = ((0.0243, "EXTRA_CHECK"), (0.0456, "ESCALATE"))
 
 
 def at_least(c: Column, ladder=TEXT_LADDER, otherwise: float = 1.0) -> Column:
@@ -36,7 +41,9 @@ def relative_difference(value: Column, reference: Column) -> Column:
 
 
 def grade_probability(c: Column, grades: dict[str, float] = GRADES, unknown: float = UNKNOWN_GRADE) -> Column:
-    return F.coalesce(F.create_map(*[x for k, v in grades.items() for x in (F.lit(k), F.lit(v))])[c], F.lit(unknown))
+    """The probability of a grade, in any case, with or without accents and with any sign between its words."""
+    word = lambda x: F.replace(upper_words(x), F.lit(" "), F.lit("_"))
+    return F.coalesce(F.create_map(*[x for k, v in grades.items() for x in (F.lit(k.upper()), F.lit(v))])[word(c)], F.lit(unknown))
 
 
 def noisy_or(p: Column) -> Column:

@@ -38,23 +38,22 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def _numbers(c: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0))))
+    """The different words of figures only."""
+    return F.array_sort(F.filter(words(c), lambda w: F.regexp_like(w, F.lit(r"^\d+$"))))
 
 
-def add_text_similarity(df: DataFrame, a: str, b: str, out: str = "similarity", numbers: bool = False) -> DataFrame:
+def add_text_similarity(df: DataFrame, a: str, b: str, out: str = "similarity", numbers: bool | Column = False) -> DataFrame:
     """df with the similarity of two normalised texts: the greatest of containment, Jaccard and the ratio of their sorted words.
 
-    Blank or null texts give 0. With `numbers`, texts whose numbers differ give 0 where both have some. Only pairs that the
+    Blank or null texts give 0. With `numbers`, or where that condition holds, texts whose numbers differ give 0 if both have some. Only pairs that the
     set measures leave below 1 are rated by the UDF, in place: no shuffle.
     """
     x, y = F.col(a), F.col(b)
-    if numbers:
-        differ = (F.size(_numbers(x)) > 0) & (F.size(_numbers(y)) > 0) & (_numbers(x) != _numbers(y))
-    else:
-        differ = F.lit(False)
+    asked = numbers if isinstance(numbers, Column) else F.lit(numbers)
+    differ = F.lit(False) if numbers is False else F.coalesce(asked & (F.size(_numbers(x)) > 0) & (F.size(_numbers(y)) > 0) & (_numbers(x) != _numbers(y)), F.lit(False))
     native = F.coalesce(F.when(differ, 0.0).otherwise(F.greatest(containment(x, y), jaccard(x, y))), F.lit(0.0))
     ask = F.coalesce((native < 1) & ~differ & (F.trim(x) != "") & (F.trim(y) != ""), F.lit(False))
-    ordered = lambda c: F.array_join(F.array_sort(F.filter(F.split(c, " "), lambda w: w != "")), " ")
+    ordered = lambda c: F.array_join(F.array_sort(words(c)), " ")
     # the ratio is asked where the rows are; a pair that needs none is null to it
     ratio = seq_ratio(F.when(ask, ordered(x)), F.when(ask, ordered(y)))
     return df.withColumn("_native", native).withColumn("_ratio", ratio).withColumn(out, F.round(F.greatest("_native", F.coalesce("_ratio", F.lit(0.0))), 6)).drop("_native", "_ratio")

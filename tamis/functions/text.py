@@ -71,6 +71,15 @@ def address(c: Column) -> Column:
     return clean_spaces(F.regexp_replace(F.upper(fold(c)), "[^A-Z0-9'./, -]", " "))
 
 
+#: Misread words of addresses and what they stand for.
+ADDRESS_MISREAD = {r"\bLOTISSEMENTAL\b": "LOTISSEMENT AL", r"\bAL\s+LAL\b": "ALLAL", r"\bAI\b": "AL", r"\bOODS\b": "QODS", r"\bMAARIE\b": "MAARIF"}
+
+
+def address_words(c: Column) -> Column:
+    """upper_words() of an address, with the usual misread words put right."""
+    return reduce(lambda e, kv: F.regexp_replace(e, *kv), ADDRESS_MISREAD.items(), upper_words(c))
+
+
 def without_leading_signs(c: Column) -> Column:
     return clean_spaces(F.regexp_replace(c, r"^[\s:;,.\-–_*]+", ""))
 

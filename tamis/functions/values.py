@@ -74,10 +74,18 @@ def period_index(p: Column) -> Column:
     return (F.substring(p, 1, 4).try_cast("int") * 12 + F.substring(p, 6, 2).try_cast("int")).cast("int")
 
 
+def period_number(c: Column) -> Column:
+    """period_index() of a text with month and year in either order, with or without a day, apart by / - . _ or a space: few
+    expressions, for plans that read several of them at once."""
+    year_first = F.regexp_replace(F.trim(c), r"^(?:\d{1,2}[/._ -])?(\d{1,2})[/._ -](\d{4})$", "$2-$1")
+    k = F.regexp_replace(year_first, r"^(\d{4})[/._ -](\d{1,2})(?:[/._ -]\d{1,2})?$", "$1-$2")
+    return F.when(k.rlike(r"^\d{4}-(?:0?[1-9]|1[0-2])$"), F.substring_index(k, "-", 1).cast("int") * 12 + F.substring_index(k, "-", -1).cast("int"))
+
+
 def direction(c: Column) -> Column:
     """C or D of the words for credit and debit; null otherwise."""
     u = upper_words(c)
-    return F.when(u.isin("C", "CR", "CREDIT"), "C").when(u.isin("D", "DB", "DEBIT"), "D")
+    return F.when(u.isin("C", "CR", "CREDIT", "CREDITS"), "C").when(u.isin("D", "DB", "DEBIT", "DEBITS"), "D")
 
 
 def flag(c: Column) -> Column:

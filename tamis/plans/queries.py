@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tamis.operators import orphans as O
 from tamis.operators import shred as S
-from tamis.plans import dossier, generic
+from tamis.plans import dossier, generic, signals
 from tamis.session import table
 
 
@@ -59,8 +59,8 @@ def p6_report(spark, d):
     return O.orphan_report(p6_found(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_documents, p2_documents_all, p2_fields, p2_transactions, p2_transactions_all, p6_found, p6_report)} | dossier.QUERIES | generic.QUERIES
-SQL: dict[str, str] = dossier.SQL | generic.SQL
+QUERIES = {f.__name__: f for f in (p2_found, p2_documents, p2_documents_all, p2_fields, p2_transactions, p2_transactions_all, p6_found, p6_report)} | dossier.QUERIES | signals.QUERIES | generic.QUERIES
+SQL: dict[str, str] = dossier.SQL | signals.SQL | generic.SQL
 
 _P6 = """
 WITH refs AS (
