@@ -80,6 +80,15 @@ def address_words(c: Column) -> Column:
     return reduce(lambda e, kv: F.regexp_replace(e, *kv), ADDRESS_MISREAD.items(), upper_words(c))
 
 
+#: Banks by what their names hold.
+BANKS = {"ATTIJARI": "ATTIJARIWAFA BANK", "CIH": "CIH BANK", "SOCIETEGENERALE": "SOCIETE GENERALE"}
+
+
+def bank(c: Column) -> Column:
+    """The canonical name of a bank, found in its letters and digits alone; else the free text."""
+    return first_containing(F.coalesce(identifier(c), F.lit("")), BANKS, free_text(c))
+
+
 def without_leading_signs(c: Column) -> Column:
     return clean_spaces(F.regexp_replace(c, r"^[\s:;,.\-–_*]+", ""))
 

@@ -74,6 +74,31 @@ def period_index(p: Column) -> Column:
     return (F.substring(p, 1, 4).try_cast("int") * 12 + F.substring(p, 6, 2).try_cast("int")).cast("int")
 
 
+#: French months and their abbreviations.
+MONTHS = {
+    "JANVIER": 1, "JANV": 1, "FEVRIER": 2, "FEVR": 2, "MARS": 3, "AVRIL": 4, "AVR": 4, "MAI": 5, "JUIN": 6, "JUILLET": 7, "JUIL": 7, "AOUT": 8,
+    "SEPTEMBRE": 9, "SEPT": 9, "OCTOBRE": 10, "OCT": 10, "NOVEMBRE": 11, "NOV": 11, "DECEMBRE": 12, "DEC": 12,
+}
+
+
+def partial_date(c: Column) -> Column:
+    """dd/mm as it is, else the ISO date; null where there is neither."""
+    s = F.regexp_replace(c, r"[\s\p{Z}]", "")
+    return F.when(s.rlike(r"^\d{2}/\d{2}$"), s).otherwise(F.date_format(iso_date(c), "yyyy-MM-dd"))
+
+
+def period_in_words(c: Column) -> Column:
+    """yyyy-MM of a text of this century that holds year and month, in figures in either order or the month as a French word; the
+    first that holds: year and month, month and year, a whole date, a month's name beside a year."""
+    u = upper_words(c)
+    of = lambda pattern, year, month: F.when(u.rlike(pattern), F.concat_ws("-", F.regexp_extract(u, pattern, year), F.lpad(F.regexp_extract(u, pattern, month), 2, "0")))
+    words = F.regexp_extract(u, r"\b(" + "|".join(MONTHS) + r")\b", 1)
+    number = F.create_map(*[x for k, v in MONTHS.items() for x in (F.lit(k), F.lit(f"{v:02d}"))])[F.nullif(words, F.lit(""))]
+    year = F.nullif(F.regexp_extract(u, r"\b(20\d{2})\b", 1), F.lit(""))
+    named = F.when(number.isNotNull() & year.isNotNull(), F.concat_ws("-", year, number))
+    return F.coalesce(of(r"\b(20\d{2}) (0?[1-9]|1[0-2])\b", 1, 2), of(r"\b(0?[1-9]|1[0-2]) (20\d{2})\b", 2, 1), named)
+
+
 def period_number(c: Column) -> Column:
     """period_index() of a text with month and year in either order, with or without a day, apart by / - . _ or a space: few
     expressions, for plans that read several of them at once."""

@@ -82,24 +82,38 @@ def exact_consistency(rows: DataFrame, keys: list[str], value: str, priority: Co
     return agg.select(*keys, "reference", "compared", "different", F.when(F.col("compared") > 1, F.when(F.col("different") > 0, 1.0).otherwise(0.0)).alias("score"))
 
 
-def medoid_reference(rows: DataFrame, keys: list[str], value: str, priority: Column, document: str, block: int = 500) -> DataFrame:
-    """(keys, reference, score): among the values of the best priority, the one most alike all others, and the ladder score of the
-    value least alike it; ties by the first document, then the value.
-
-    Works on different values with their numbers of rows. Every value of the best priority is a candidate and is held against every value
-    of the key; both sides of a key lie in blocks of about `block` values, and each pair of blocks is a key of the join of its own, so a key with many
-    values spreads over many tasks. Null and blank values don't take part; keys with one document have a null score.
+def medoids(units: DataFrame, keys: list[str], similarity, block: int = 500) -> DataFrame:
+    """(keys, a, doc, worst, docs): of the values with the best p, the one most alike those of all other documents, and the greatest score
+    against them; ties by the first document, then the value.
+
+    units: (keys, doc, value, p, n), each (doc, value) once with its number of rows. similarity(df) adds s, the likeness of a to b, and w,
+    the score of b against a. A value isn't held against its own document; where there is no other the mean is 1. Both sides of a key
+    lie in blocks of about `block` values, and each pair of blocks is a key of the join of its own: a key with many values
+    spreads over many tasks.
     """
-    some = rows.filter(F.trim(F.col(value)) != "")
-    different = some.groupBy(*keys, value).agg(F.min(priority).alias("p"), F.min(document).alias("d"), F.count("*").alias("n"))
-    parts = F.ceil(F.count("*") / block).cast("int")
-    size = different.groupBy(*keys).agg(F.min("p").alias("best"), parts.alias("_parts"))
-    docs = some.groupBy(*keys).agg(F.countDistinct(document).alias("docs"))
-    placed = different.join(size, keys).withColumn("_at", F.pmod(F.xxhash64(value), "_parts").cast("int"))
+    size = units.groupBy(*keys).agg(F.min("p").alias("_best"), F.countDistinct("doc").alias("docs"), F.ceil(F.count("*") / block).cast("int").alias("_parts"))
+    placed = units.join(size, keys).withColumn("_at", F.pmod(F.xxhash64("doc", "value"), "_parts").cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
-    candidates = placed.filter(F.col("p") == F.col("best")).select(*keys, F.col(value).alias("a"), "d", F.col("_at").alias("_i"), others.alias("_j"))
-    against = placed.select(*keys, F.col(value).alias("b"), "n", F.col("_at").alias("_j"), others.alias("_i"))
-    pairs = add_text_similarity(candidates.join(against, [*keys, "_i", "_j"]), "a", "b", "s")
-    rated = pairs.groupBy(*keys, "a").agg(F.min("d").alias("d"), F.round(F.sum(F.col("s") * F.col("n")) / F.sum("n"), 6).alias("mean"), F.min("s").alias("worst"))
-    chosen = rated.groupBy(*keys).agg(F.min_by(F.struct("a", "worst"), F.struct(-F.col("mean"), "d", "a")).alias("_c")).select(*keys, F.col("_c.a").alias("reference"), F.col("_c.worst").alias("worst"))
-    return chosen.join(docs, keys).select(*keys, "reference", F.when(F.col("docs") > 1, at_least(F.col("worst"))).alias("score"))
+    a = placed.filter(F.col("p") == F.col("_best")).select(*keys, F.col("value").alias("a"), F.col("doc").alias("doc_a"), "docs", F.col("_at").alias("_i"), others.alias("_j"))
+    b = placed.select(*keys, F.col("value").alias("b"), F.col("doc").alias("doc_b"), "n", F.col("_at").alias("_j"), others.alias("_i"))
+    pairs = similarity(a.join(b, [*keys, "_i", "_j"])).withColumn("_other", F.col("doc_a") != F.col("doc_b"))
+    of = lambda c: F.when(F.col("_other"), c)
+    rated = pairs.groupBy(*keys, "a", "doc_a").agg(
+        F.max("docs").alias("docs"),
+        F.round(F.coalesce(F.sum(of(F.col("s") * F.col("n"))) / F.sum(of(F.col("n"))), F.lit(1.0)), 9).alias("mean"),
+        F.max(of(F.col("w"))).alias("worst"),
+        F.min(of(F.col("s"))).alias("least"),
+    )
+    best = rated.groupBy(*keys).agg(F.min_by(F.struct("a", F.col("doc_a").alias("doc"), "worst", "least", "docs"), F.struct(-F.col("mean"), "doc_a", "a")).alias("_r"))
+    return best.select(*keys, "_r.*")
+
+
+def medoid_reference(rows: DataFrame, keys: list[str], value: str, priority: Column, document: str, block: int = 500) -> DataFrame:
+    """(keys, reference, score): among the values of the best priority, the one most alike those of all other documents, and the ladder
+    score of the value least alike it; ties by the first document, then the value. Null and blank values and null documents don't
+    take part; keys with one document have a null score. See medoids() for the work it does."""
+    some = rows.filter((F.trim(F.col(value)) != "") & F.col(document).isNotNull())
+    units = some.groupBy(*keys, F.col(document).alias("doc"), F.col(value).alias("value")).agg(F.min(priority).alias("p"), F.count("*").alias("n"))
+    rate = lambda pairs: add_text_similarity(pairs, "a", "b", "s").withColumn("w", at_least(F.col("s")))
+    found = medoids(units, keys, rate, block)
+    return found.select(*keys, F.col("a").alias("reference"), F.when(F.col("docs") > 1, at_least(F.col("least"))).alias("score"))

@@ -11,7 +11,7 @@ from tamis.functions import text as T
 
 #: Statuses of a field that carries no value, other names of document types and of fields.
 UNUSABLE = ("MISSING", "INVALID FORMAT", "ABSENT DU TEMPLATE", "OPTIONAL MISSING")
-DOC_TYPES = {"RELEVE": "RELEVE_BANCAIRE", "BULLETIN": "BULLETIN_SALAIRE", "BULLETIN_PAIE": "BULLETIN_SALAIRE", "ATTESTATION": "ATTESTATION_TRAVAIL", "FACTURE": "QUITTANCE", "CARTE_NATIONALE": "CIN"}
+DOC_TYPES = {"BULLETIN_DE_SALAIRE": "BULLETIN_SALAIRE", "ATTESTATION_DE_TRAVAIL": "ATTESTATION_TRAVAIL"}
 FIELD_NAMES = {"cin_numero": "CIN", "cin": "CIN", "net_a_payer": "NET_A_PAYER", "nom_employe": "NOM_EMPLOYE"}
 
 
@@ -46,6 +46,12 @@ def canonical(c: Column, names: dict[str, str]) -> Column:
     return F.coalesce(table[u], u)
 
 
+def document_type(c: Column) -> Column:
+    """The canonical type of a document: upper words joined by _, and their other names resolved."""
+    u = F.replace(T.upper_words(c), F.lit(" "), F.lit("_"))
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in DOC_TYPES.items() for x in kv])[u], u)
+
+
 def wide(fields: DataFrame, keys: list[str], name: str, value: str, columns: dict[str, str], order: str | None = None) -> DataFrame:
     """One row for each key with a column for each listed field name: a conditional aggregate, so one shuffle on the keys and
     no list of values first. With `order` the last value wins, else the greatest. Absent fields are null."""

@@ -21,20 +21,6 @@ def shared_values(prof: DataFrame, file: str, value: str) -> DataFrame:
     return prof.groupBy(value).agg(F.countDistinct(file).alias("files")).filter("files > 1")
 
 
-def identities_behind(prof: DataFrame, file: str, name: str, value: str, shared: str, identity: str) -> DataFrame:
-    """(file, value, files, identities, score): for each file with a value of `shared` that others have too, how many different
-    values of `identity` stand behind it.
-
-    The score is 1 with several identities, 0 with one, null with none. A value is held against counts by value, never
-    against every other file, so a value that a third of all files share costs no more than its rows.
-    """
-    own = prof.filter(F.col(name) == shared).select(file, value).distinct()
-    who = prof.filter(F.col(name) == identity).select(F.col(file), F.col(value).alias("_who"))
-    behind = own.join(who, file, "left").groupBy(value).agg(F.countDistinct(file).alias("files"), F.countDistinct("_who").alias("identities")).filter("files > 1")
-    score = F.when(F.col("identities") > 1, 1.0).when(F.col("identities") == 1, 0.0)
-    return own.join(behind, value).select(file, value, "files", "identities", score.alias("score"))
-
-
 def group_scores(prof: DataFrame, file: str, name: str, value: str, group: str, identity: str) -> DataFrame:
     """(value, identities, score): for each value of `group`, the number of different identities of the files that have it, and its ladder."""
     own = prof.filter(F.col(name) == group).select(file, value).distinct()
@@ -43,21 +29,6 @@ def group_scores(prof: DataFrame, file: str, name: str, value: str, group: str,
     return agg.select(value, "identities", at_most(F.col("identities"), GROUP_LADDER, 0.6).alias("score"))
 
 
-def names_behind(prof: DataFrame, file: str, name: str, value: str, shared: str, label: str) -> DataFrame:
-    """(value, labels, least, score): for each value of `shared` that several files have, the different labels of those files and the
-    similarity of the most common one to the label least like it, with its ladder score.
-
-    Labels are held against the most common label of the value, so their number grows the work linearly.
-    """
-    own = prof.filter(F.col(name) == shared).select(file, value).distinct()
-    multiple = shared_values(own, file, value)
-    labels = prof.filter(F.col(name) == label).select(F.col(file), F.col(value).alias("_label"))
-    counted = own.join(multiple, value).join(labels, file).groupBy(value, "_label").agg(F.countDistinct(file).alias("n"))
-    lead = counted.groupBy(value).agg(F.max_by("_label", F.struct("n", "_label")).alias("_lead"), F.count("*").alias("labels"))
-    rated = add_text_similarity(counted.join(lead, value), "_label", "_lead", "s")
-    return rated.groupBy(value).agg(F.max("labels").alias("labels"), F.min("s").alias("least")).withColumn("score", at_least(F.col("least")))
-
-
 def linked_names(prof: DataFrame, file: str, name: str, value: str, shared: str, label: str, block: int = 500) -> DataFrame:
     """(file, value, linked, least, score): for each file with a value of `shared` that others have too, the other files of the value with
     labels, and how alike the least like of them is: two files are as alike as the most alike pair of their labels.

@@ -20,6 +20,7 @@ from tamis.functions import values as V
 from tamis.functions.scores import AMOUNT_LADDER, DATE_LADDER, at_least, at_most, relative_difference
 from tamis.functions.similarity import add_employer_similarity, add_text_similarity
 from tamis.operators import network
+from tamis.operators.compare import medoids
 from tamis.session import durable
 
 #: Rules in their order, amounts that may differ, least likeness of an employer and a label.
@@ -269,32 +270,6 @@ def date_score(reference: Column, other: Column) -> Column:
     return F.coalesce(at_most(F.abs(F.datediff(day(reference), day(other))), DATE_LADDER), F.lit(1.0))
 
 
-def medoids(units: DataFrame, keys: list[str], similarity, block: int = 500) -> DataFrame:
-    """(keys, a, doc, worst, docs): of the values with the best p, the one most alike those of all other documents, and the greatest score
-    against them; ties by the first document, then the value.
-
-    units: (keys, doc, value, p, n), each (doc, value) once with its number of rows. similarity(df) adds s, the likeness of a to b, and w,
-    the score of b against a. A value isn't held against its own document; where there is no other the mean is 1. Both sides of a key
-    lie in blocks of about `block` values, and each pair of blocks is a key of the join of its own: a key with many values
-    spreads over many tasks.
-    """
-    size = units.groupBy(*keys).agg(F.min("p").alias("_best"), F.countDistinct("doc").alias("docs"), F.ceil(F.count("*") / block).cast("int").alias("_parts"))
-    placed = units.join(size, keys).withColumn("_at", F.pmod(F.xxhash64("doc", "value"), "_parts").cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
-    a = placed.filter(F.col("p") == F.col("_best")).select(*keys, F.col("value").alias("a"), F.col("doc").alias("doc_a"), "docs", F.col("_at").alias("_i"), others.alias("_j"))
-    b = placed.select(*keys, F.col("value").alias("b"), F.col("doc").alias("doc_b"), "n", F.col("_at").alias("_j"), others.alias("_i"))
-    pairs = similarity(a.join(b, [*keys, "_i", "_j"])).withColumn("_other", F.col("doc_a") != F.col("doc_b"))
-    of = lambda c: F.when(F.col("_other"), c)
-    rated = pairs.groupBy(*keys, "a", "doc_a").agg(
-        F.max("docs").alias("docs"),
-        F.round(F.coalesce(F.sum(of(F.col("s") * F.col("n"))) / F.sum(of(F.col("n"))), F.lit(1.0)), 9).alias("mean"),
-        F.max(of(F.col("w"))).alias("worst"),
-        F.min(of(F.col("s"))).alias("least"),
-    )
-    best = rated.groupBy(*keys).agg(F.min_by(F.struct("a", F.col("doc_a").alias("doc"), "worst", "least", "docs"), F.struct(-F.col("mean"), "doc_a", "a")).alias("_r"))
-    return best.select(*keys, "_r.*")
-
-
 def text_checks(records: DataFrame, file: str = "dossier_id", block: int = 500) -> DataFrame:
     """Checks of the fields that must be alike - texts, addresses, dates: every document against the medoid of the most trusted type."""
     names = [n for n, r in FIELD_RULES.items() if r.kind != "exact"]

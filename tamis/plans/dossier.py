@@ -229,16 +229,6 @@ def _profile(spark, d):
 _PROF = _IDS + ", own AS (SELECT DISTINCT dossier_id, value FROM ids WHERE name = '{0}'), who AS (SELECT DISTINCT dossier_id, value AS w FROM ids WHERE name = '{1}')"
 
 
-@query("WITH " + _PROF.format("RIB", "CIN") + ", behind AS (SELECT value, count(DISTINCT dossier_id) AS files, count(DISTINCT w) AS identities FROM own LEFT JOIN who USING (dossier_id) GROUP BY value HAVING count(DISTINCT dossier_id) > 1) SELECT dossier_id, value, files, identities, CASE WHEN identities > 1 THEN 1.0::DOUBLE WHEN identities = 1 THEN 0.0::DOUBLE END AS score FROM own JOIN behind USING (value)")
-def jn5_shared_rib(spark, d):
-    return network.identities_behind(_profile(spark, d), "dossier_id", "name", "value", "RIB", "CIN")
-
-
-@query("WITH " + _PROF.format("IBAN", "CIN") + ", behind AS (SELECT value, count(DISTINCT dossier_id) AS files, count(DISTINCT w) AS identities FROM own LEFT JOIN who USING (dossier_id) GROUP BY value HAVING count(DISTINCT dossier_id) > 1) SELECT dossier_id, value, files, identities, CASE WHEN identities > 1 THEN 1.0::DOUBLE WHEN identities = 1 THEN 0.0::DOUBLE END AS score FROM own JOIN behind USING (value)")
-def jn5_shared_iban(spark, d):
-    return network.identities_behind(_profile(spark, d), "dossier_id", "name", "value", "IBAN", "CIN")
-
-
 @query("WITH " + _PROF.format("RIB", "CIN") + ", g AS (SELECT value, count(DISTINCT w) AS identities FROM own JOIN who USING (dossier_id) GROUP BY value) SELECT value, identities, CASE WHEN identities <= 1 THEN 0.0::DOUBLE WHEN identities <= 2 THEN 0.25 WHEN identities <= 3 THEN 0.5 ELSE 0.6 END AS score FROM g")
 def a16_group_scores(spark, d):
     return network.group_scores(_profile(spark, d), "dossier_id", "name", "value", "RIB", "CIN")
@@ -324,20 +314,31 @@ def a18_completeness(spark, d):
     return quality.completeness(known(documents(spark, d)), "dossier_id", "doc_type")
 
 
-_REQUIRED = ("cin_numero", "rib", "periode", "net_a_payer", "titulaire")
-
-
 def _field_statuses(spark, d):
-    c = champ(spark, d).filter(F.col("nom_source").isin("cin_numero", "cin", "rib", "iban", "periode", "net_a_payer", "titulaire", "nom_abonne"))
-    v, n = F.col("valeur_normalisee"), F.col("nom_source")
-    valid = F.when(n.isin("cin_numero", "cin"), quality.valid_cin(v)).when(n == "rib", quality.valid_digits(v, 24, 24)).when(n == "iban", quality.valid_iban(v)).when(n == "periode", quality.valid_period(v)).when(n == "net_a_payer", quality.valid_number(v)).otherwise(quality.valid_name(v))
-    return c.select("champ_id", "dossier_id", "doc_id", quality.field_status(v, valid, F.col("confidence_ocr"), n.isin(*_REQUIRED)).alias("status"))
-
-
-_FS = """fs AS (SELECT champ_id, doc_id, CASE WHEN coalesce(trim(valeur_normalisee) = '', true) THEN CASE WHEN nom_source IN ('cin_numero', 'rib', 'periode', 'net_a_payer', 'titulaire') THEN 'MISSING' ELSE 'OPTIONAL_MISSING' END
-  WHEN NOT CASE WHEN nom_source IN ('cin_numero', 'cin') THEN regexp_matches(valeur_normalisee, '^[A-Z]{1,2}\\d{5,8}$') WHEN nom_source = 'rib' THEN regexp_matches(valeur_normalisee, '^\\d{24}$') WHEN nom_source = 'iban' THEN regexp_matches(valeur_normalisee, '^MA\\d{26}$')
-    WHEN nom_source = 'periode' THEN regexp_matches(valeur_normalisee, '^\\d{4}-(0[1-9]|1[0-2])$') WHEN nom_source = 'net_a_payer' THEN try_cast(valeur_normalisee AS DOUBLE) IS NOT NULL ELSE length(trim(valeur_normalisee)) >= 2 AND NOT regexp_matches(valeur_normalisee, '\\d') END THEN 'INVALID_FORMAT'
-  WHEN coalesce(confidence_ocr < 0.7, false) THEN 'LOW_CONFIDENCE' ELSE 'VALID' END AS status FROM ch WHERE nom_source IN ('cin_numero', 'cin', 'rib', 'iban', 'periode', 'net_a_payer', 'titulaire', 'nom_abonne'))"""
+    n, v = F.col("nom_source"), F.col("valeur_normalisee")
+    required = quality.is_required(F.col("doc_type"), n)
+    status = quality.field_status(F.col("validation_status"), F.col("valeur"), v, quality.valid_value(n, v), F.col("confidence_ocr"), required)
+    return champ(spark, d).select("champ_id", "doc_id", "doc_type", n, status.alias("status"), required.alias("required"))
+
+
+_MUST = " OR ".join(
+    f"(doc_type = '{t}' AND nom_source IN ({', '.join(repr(n) for n in names)}))"
+    for t, names in (
+        ("CIN", ("cin_numero", "nom", "prenom", "date_naissance", "adresse")), ("QUITTANCE", ("nom_abonne", "adresse", "ville")), ("RIB", ("banque", "titulaire", "rib")),
+        ("RELEVE_BANCAIRE", ("banque", "titulaire", "adresse", "rib", "solde_ouverture", "solde_cloture", "total_credits", "total_debits", "transactions")),
+        ("BULLETIN_SALAIRE", ("nom_employe", "prenom_employe", "employeur", "poste", "periode", "salaire_brut", "net_a_payer")), ("ATTESTATION_TRAVAIL", ("nom", "cin", "employeur", "poste", "date_embauche")),
+    )
+)
+_FS = f"""fs AS (SELECT champ_id, doc_id, doc_type, nom_source, coalesce({_MUST}, false) AS must, CASE WHEN validation_status = 'ABSENT_DU_TEMPLATE' THEN 'ABSENT_DU_TEMPLATE'
+  WHEN valeur_normalisee IS NULL THEN CASE WHEN valeur IS NOT NULL THEN 'INVALID_FORMAT' WHEN coalesce({_MUST}, false) THEN 'MISSING' ELSE 'OPTIONAL_MISSING' END
+  WHEN NOT coalesce(CASE WHEN nom_source IN ('cin_numero', 'cin') THEN regexp_matches(valeur_normalisee, '^[A-Z]{{1,2}}\\d{{5,8}}$') WHEN nom_source = 'rib' THEN regexp_matches(valeur_normalisee, '^[0-9]+$') WHEN nom_source = 'iban' THEN regexp_matches(valeur_normalisee, '^[A-Z0-9]+$')
+    WHEN nom_source IN ('nom', 'prenom', 'nom_abonne', 'titulaire', 'nom_employe', 'prenom_employe') THEN length(trim(valeur_normalisee)) >= 2 AND NOT regexp_matches(valeur_normalisee, '\\d')
+    WHEN nom_source IN ('date_naissance', 'date_embauche', 'date_facture', 'date_solde_ouverture', 'date_solde_cloture') THEN regexp_matches(valeur_normalisee, '^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}$') AND try_strptime(valeur_normalisee, '%Y-%m-%d') IS NOT NULL
+    WHEN nom_source = 'periode' THEN regexp_matches(valeur_normalisee, '^\\d{{4}}-(0[1-9]|1[0-2])$')
+    WHEN nom_source IN ('net_a_payer', 'salaire_mensuel', 'salaire_brut', 'solde_ouverture', 'solde_cloture', 'total_credits', 'total_debits') THEN try_cast(valeur_normalisee AS DOUBLE) IS NOT NULL
+    WHEN nom_source = 'cachet_present' THEN lower(valeur_normalisee) IN ('true', 'false') WHEN nom_source = 'sexe' THEN valeur_normalisee IN ('M', 'F')
+    WHEN nom_source IN ('adresse', 'ville', 'banque', 'employeur', 'poste', 'anciennete', 'lieu_naissance', 'nationalite') THEN length(trim(valeur_normalisee)) >= 2 ELSE true END, false) THEN 'INVALID_FORMAT'
+  WHEN validation_status = 'TO_REVIEW' THEN 'TO_REVIEW' WHEN coalesce(confidence_ocr, 0) < 0.7 THEN 'LOW_CONFIDENCE' ELSE 'VALID' END AS status FROM ch)"""
 
 
 @query("WITH " + _FS + " SELECT champ_id, status FROM fs")
@@ -345,10 +346,75 @@ def s26_field_status(spark, d):
     return _field_statuses(spark, d).select("champ_id", "status")
 
 
-@query("WITH " + _FS + """ SELECT doc_id, count(*) AS n_fields, count(*) FILTER (status = 'MISSING') AS n_missing, count(*) FILTER (status = 'INVALID_FORMAT') AS n_invalid, count(*) FILTER (status IN ('LOW_CONFIDENCE', 'TO_REVIEW')) AS n_review,
- CASE WHEN count(*) FILTER (status = 'MISSING') > 0 THEN 'INCOMPLETE' WHEN count(*) FILTER (status = 'INVALID_FORMAT') > 0 THEN 'INVALID' WHEN count(*) FILTER (status IN ('LOW_CONFIDENCE', 'TO_REVIEW')) > 0 THEN 'TO_REVIEW' ELSE 'VALID' END AS document_status FROM fs WHERE doc_id IS NOT NULL GROUP BY doc_id""")
+@query("WITH " + _FS + """, a AS (SELECT doc_id, doc_type, count(*) AS n_fields, count(*) FILTER (must AND status = 'MISSING') AS n_missing, count(*) FILTER (must AND status = 'INVALID_FORMAT') AS n_invalid, count(*) FILTER (must AND status = 'LOW_CONFIDENCE') AS n_low,
+  count(*) FILTER (must AND status = 'TO_REVIEW') AS n_review, count(*) FILTER (NOT must AND status = 'INVALID_FORMAT') AS n_optional_invalid FROM fs WHERE doc_id IS NOT NULL GROUP BY doc_id, doc_type)
+SELECT *, CASE WHEN doc_type IS NULL OR doc_type NOT IN ('CIN', 'QUITTANCE', 'RIB', 'RELEVE_BANCAIRE', 'BULLETIN_SALAIRE', 'ATTESTATION_TRAVAIL') THEN 'NOT_IMPLEMENTED' WHEN n_missing > 0 THEN 'INCOMPLETE' WHEN n_invalid > 0 THEN 'INVALID' WHEN n_low + n_review + n_optional_invalid > 0 THEN 'TO_REVIEW' ELSE 'VALID' END AS document_status FROM a""")
 def a19_document_status(spark, d):
-    return quality.document_status(_field_statuses(spark, d).filter(F.col("doc_id").isNotNull()), ["doc_id"], "status")
+    return quality.document_status(_field_statuses(spark, d).filter(F.col("doc_id").isNotNull()), ["doc_id"], "status", "required", "doc_type")
+
+
+_NAMED = "coalesce(array_to_string(list_sort(list(DISTINCT nom_source) FILTER ({0})), '|'), '')"
+
+
+@query("SELECT doc_id, CASE WHEN count(*) FILTER (valeur IS NOT NULL AND valeur_normalisee IS NULL) > 0 THEN 'TO_REVIEW' ELSE 'OK' END AS status, count(*) FILTER (valeur IS NOT NULL AND valeur_normalisee IS NOT NULL) AS n_normalised, " + _NAMED.format("valeur IS NULL") + " AS missing, '' AS absent, " + _NAMED.format("valeur IS NOT NULL AND valeur_normalisee IS NULL") + " AS failed FROM ch WHERE doc_id IS NOT NULL GROUP BY doc_id")
+def a20_normalisation(spark, d):
+    rows = champ(spark, d).filter(F.col("doc_id").isNotNull())
+    status = quality.normalisation_status(F.col("validation_status"), F.col("valeur"), F.col("valeur_normalisee"))
+    return quality.normalisation_roll_up(rows.select("doc_id", "nom_source", status.alias("status")), ["doc_id"], "nom_source", "status")
+
+
+@query(f"WITH x AS (SELECT doc_id, nom_source, coalesce({_MUST}, false) AND valeur IS NULL AND coalesce(validation_status, '') <> 'ABSENT_DU_TEMPLATE' AS m, coalesce(({_MUST}) AND validation_status = 'TO_REVIEW', false) AS r FROM ch WHERE doc_id IS NOT NULL) SELECT doc_id, CASE WHEN bool_or(m) THEN 'INCOMPLETE' WHEN bool_or(r) THEN 'TO_REVIEW' ELSE 'OK' END AS status, " + _NAMED.format("m") + " AS missing, " + _NAMED.format("r") + " AS to_review FROM x GROUP BY doc_id")
+def a21_extraction(spark, d):
+    rows = champ(spark, d).filter(F.col("doc_id").isNotNull()).withColumn("must", quality.is_required(F.col("doc_type"), F.col("nom_source")))
+    return quality.extraction_roll_up(rows, ["doc_id"], "nom_source", "valeur", "validation_status", "must")
+
+
+@query()
+def s24_normalised_values(spark, d):
+    """Every different raw value in the form of its field."""
+    rows = table(spark, d, "champ").filter(F.col("valeur").isNotNull()).select("nom_source", "valeur").distinct()
+    return rows.withColumn("normalised", quality.normalised_value(F.col("nom_source"), F.col("valeur")))
+
+
+@query("SELECT 'dossier_document' AS table_name, doc_id AS row_id, dossier_id AS reference FROM dd WHERE dossier_id IS NOT NULL AND dossier_id NOT IN (SELECT dossier_id FROM dossier WHERE dossier_id IS NOT NULL) UNION ALL SELECT 'champ', champ_id, doc_id FROM ch WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM dossier_document WHERE doc_id IS NOT NULL)")
+def jn12_orphans(spark, d):
+    """Documents of no file, the placeholder's among them, and fields of no document: anti-joins on the key."""
+    files = table(spark, d, "dossier").select("dossier_id").filter(F.col("dossier_id").isNotNull()).distinct()
+    docs = table(spark, d, "dossier_document").select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
+    a = documents(spark, d).filter(F.col("dossier_id").isNotNull()).join(files, "dossier_id", "left_anti").select(F.lit("dossier_document").alias("table_name"), F.col("doc_id").alias("row_id"), F.col("dossier_id").alias("reference"))
+    b = champ(spark, d).filter(F.col("doc_id").isNotNull()).join(docs, "doc_id", "left_anti").select(F.lit("champ").alias("table_name"), F.col("champ_id").alias("row_id"), F.col("doc_id").alias("reference"))
+    return a.unionByName(b)
+
+
+@query("SELECT DISTINCT date_operation, CASE WHEN regexp_matches(regexp_replace(date_operation, '\\s', '', 'g'), '^\\d{2}/\\d{2}$') THEN regexp_replace(date_operation, '\\s', '', 'g') ELSE strftime(try_strptime(date_operation, '%d/%m/%Y'), '%Y-%m-%d') END AS partial FROM txn WHERE date_operation IS NOT NULL", once=False)
+def s12_partial_dates(spark, d):
+    rows = table(spark, d, "txn").filter(F.col("date_operation").isNotNull()).select("date_operation").distinct()
+    return rows.withColumn("partial", V.partial_date(F.col("date_operation")))
+
+
+_INTRA_CHANGES = {"cin_numero": "valeur || 'X'", "titulaire": "valeur || ' X'", "adresse": "valeur || ' LOT 99'", "employeur": "valeur || ' SARL'", "poste": "'DIRECTEUR'", "date_embauche": "'2020-01-01'"}
+_LLM_CHANGES = {"poste": "'PHARMACIEN'", "salaire_mensuel": "'2500'"}
+
+
+def _mutated_sql(changes):
+    names = ", ".join(f"'{n}'" for n in changes)
+    case = "CASE nom_source " + " ".join(f"WHEN '{n}' THEN {c}" for n, c in changes.items()) + " END"
+    return f"SELECT champ_id, r = 1 AS mutated, CASE WHEN r = 1 THEN {case} ELSE valeur END AS valeur FROM (SELECT *, row_number() OVER (PARTITION BY dossier_id, nom_source ORDER BY champ_id, valeur) AS r FROM ch WHERE dossier_id <> 'DOSSIER_UNKNOWN' AND nom_source IN ({names}))"
+
+
+def _mutated(spark, d, changes):
+    rows = known(champ(spark, d)).filter(F.col("nom_source").isin(*changes))
+    return mutate.mutate_each(rows, "dossier_id", "nom_source", "valeur", "champ_id", {n: F.expr(c) for n, c in changes.items()}).select("champ_id", "mutated", "valeur")
+
+
+@query(_mutated_sql(_INTRA_CHANGES))
+def m2_intra_mutations(spark, d):
+    return _mutated(spark, d, _INTRA_CHANGES)
+
+
+@query(_mutated_sql(_LLM_CHANGES))
+def m4_semantic_mutations(spark, d):
+    return _mutated(spark, d, _LLM_CHANGES)
 
 
 _STEPS = ("extraction_status", "normalization_status", "validation_status")
@@ -416,9 +482,9 @@ def s30_salary_labels(spark, d):
     return table(spark, d, "txn").filter(v.isNotNull()).select("libelle").distinct().select("libelle", T.salary_label(v).alias("salary"), T.label_tail(v).alias("payer"))
 
 
-@query("SELECT doc_id, CASE doc_type WHEN 'RELEVE' THEN 'RELEVE_BANCAIRE' WHEN 'BULLETIN' THEN 'BULLETIN_SALAIRE' WHEN 'BULLETIN_PAIE' THEN 'BULLETIN_SALAIRE' WHEN 'ATTESTATION' THEN 'ATTESTATION_TRAVAIL' WHEN 'FACTURE' THEN 'QUITTANCE' WHEN 'CARTE_NATIONALE' THEN 'CIN' ELSE upper(trim(doc_type)) END AS doc_type, try_cast(nullif(regexp_extract(doc_id, '(?i)_M([123])(?:_|$)', 1), '') AS INT) AS slot FROM dd")
+@query("SELECT doc_id, CASE replace(" + _UPPER.format("doc_type") + ", ' ', '_') WHEN 'BULLETIN_DE_SALAIRE' THEN 'BULLETIN_SALAIRE' WHEN 'ATTESTATION_DE_TRAVAIL' THEN 'ATTESTATION_TRAVAIL' ELSE replace(" + _UPPER.format("doc_type") + ", ' ', '_') END AS doc_type, try_cast(nullif(regexp_extract(doc_id, '(?i)_M([123])(?:_|$)', 1), '') AS INT) AS slot FROM dd")
 def prj3_document_kinds(spark, d):
-    return documents(spark, d).select("doc_id", fields.canonical(F.col("doc_type"), fields.DOC_TYPES).alias("doc_type"), T.month_slot(F.col("doc_id")).alias("slot"))
+    return documents(spark, d).select("doc_id", fields.document_type(F.col("doc_type")).alias("doc_type"), T.month_slot(F.col("doc_id")).alias("slot"))
 
 
 @query("WITH p AS (SELECT dossier_id, doc_id, max(CASE WHEN nom_source = 'nom' THEN valeur END) AS a, max(CASE WHEN nom_source = 'prenom' THEN valeur END) AS b, min(confidence_ocr) AS confidence FROM ch WHERE dossier_id <> 'DOSSIER_UNKNOWN' AND nom_source IN ('nom', 'prenom') GROUP BY dossier_id, doc_id) SELECT dossier_id, doc_id, " + _CLEAN.format("concat_ws(' ', a, b)") + " AS full_name, confidence FROM p WHERE trim(a) <> '' AND trim(b) <> ''")
@@ -452,13 +518,7 @@ def m1_mutated_fields(spark, d):
 g AS (SELECT dossier_id AS donor, max(valeur) AS given FROM ch WHERE nom_source = 'rib' AND dossier_id <> 'DOSSIER_UNKNOWN' GROUP BY dossier_id)
 SELECT champ_id, coalesce(given, valeur) AS valeur FROM ch LEFT JOIN pr ON ch.dossier_id = pr.target LEFT JOIN g USING (donor) WHERE nom_source = 'rib' AND dossier_id <> 'DOSSIER_UNKNOWN'""")
 def m3_borrowed_fields(spark, d, only=known):
-    # donors: the id before the target's, found inside ranges of ids, so that no task sorts them all
-    ids = table(spark, d, "dossier").filter(F.col("dossier_id").isNotNull()).select("dossier_id").distinct()
-    number = F.substring("dossier_id", 2, 20).try_cast("bigint")
-    ids = ids.withColumn("n", number).filter("n IS NOT NULL")
-    before = ids.select(F.col("dossier_id").alias("donor"), F.col("n").alias("m"))
-    targets = ids.filter(F.substring("dossier_id", -1, 1) == "0").withColumn("m", F.explode(F.sequence(F.col("n") - 9, F.col("n") - 1)))
-    pairs = targets.join(before, "m").groupBy(F.col("dossier_id").alias("target")).agg(F.max("donor").alias("donor"))
+    pairs = mutate.predecessors(table(spark, d, "dossier"), "dossier_id").filter(F.substring("target", -1, 1) == "0")
     rows = only(champ(spark, d)).filter(F.col("nom_source") == "rib")
     return mutate.borrow_from_donor(rows, pairs, "dossier_id", "nom_source", "valeur", ("rib",)).select("champ_id", "valeur")
 

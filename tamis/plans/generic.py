@@ -120,11 +120,6 @@ def s34_json_props(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
-def jn12_customers_without_orders(spark, d):
-    return table(spark, d, "customer").select("c_custkey", "c_name").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
-
-
 @query("SELECT p_partkey FROM part ORDER BY md5('42:' || p_partkey::VARCHAR), p_partkey LIMIT 100")
 def smp1_seeded_sample(spark, d):
     return audit.seeded_sample(table(spark, d, "part").select("p_partkey"), "p_partkey", 42, 100)
@@ -135,23 +130,34 @@ def smp1_quota_sample(spark, d):
     return audit.quota_sample(table(spark, d, "events").select("event_id", "event_type"), "event_id", "event_type", 42, {"error": 15, "view": 25, "click": 25})
 
 
-def _classes():
-    text = "trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9]+', ' ', 'g'))"
-    sums = ", ".join(f"({' + '.join(f'''CASE WHEN contains(t, '{w}') THEN {x} ELSE 0 END''' for w, x in words.items())})::DOUBLE AS {k}" for k, words in classify.TYPE_KEYWORDS.items())
-    names = sorted(classify.TYPE_KEYWORDS)
-    best = f"greatest({', '.join(names)})"
-    return f"""WITH d AS (SELECT doc_id, {text} AS t FROM documents), s AS (SELECT doc_id, {sums} FROM d),
-r AS (SELECT doc_id, k, v, row_number() OVER (PARTITION BY doc_id ORDER BY v DESC, k) AS r, sum(v) OVER (PARTITION BY doc_id) AS total FROM (UNPIVOT s ON {', '.join(names)} INTO NAME k VALUE v)),
-b AS (SELECT doc_id, max(total) AS total, max(CASE WHEN r = 1 THEN k END) AS k, max(CASE WHEN r = 1 THEN v END) AS v1, max(CASE WHEN r = 2 THEN v END) AS v2 FROM r GROUP BY doc_id)
-SELECT doc_id, CASE WHEN v1 >= 2.0 AND round(v1 - v2, 4) >= 0.75 THEN k ELSE 'UNKNOWN' END AS doc_class, v1 AS class_score, round(v1 - v2, 4) AS class_margin, round(v1 / greatest(total, v1, 1.0), 4) AS class_confidence FROM b"""
+_KEYWORDS = """kw(k, word, w) AS (VALUES ('CIN', 'carte nationale d identite', 4.0), ('CIN', 'carte d identite', 3.0), ('CIN', 'numero d identifiant', 3.0), ('CIN', 'date de naissance', 0.75), ('CIN', 'lieu de naissance', 0.75),
+('RELEVE_BANCAIRE', 'releve de compte bancaire', 5.0), ('RELEVE_BANCAIRE', 'releve de compte', 4.0), ('RELEVE_BANCAIRE', 'solde depart', 3.0), ('RELEVE_BANCAIRE', 'nouveau solde', 3.0), ('RELEVE_BANCAIRE', 'solde final', 2.5),
+('RELEVE_BANCAIRE', 'total des mouvements', 3.0), ('RELEVE_BANCAIRE', 'total mouvements', 2.5), ('RIB', 'releve d identite bancaire', 5.0), ('RIB', 'identite bancaire', 4.0), ('RIB', 'references bancaires', 3.0),
+('RIB', 'intitule du compte', 2.5), ('RIB', 'titulaire du compte', 2.0), ('RIB', 'code banque', 1.5), ('RIB', 'code swift', 2.0), ('RIB', 'bic', 1.0), ('RIB', 'iban', 1.0), ('BULLETIN_SALAIRE', 'bulletin de paie', 5.0),
+('BULLETIN_SALAIRE', 'bulletin de salaire', 5.0), ('BULLETIN_SALAIRE', 'salaire brut', 2.5), ('BULLETIN_SALAIRE', 'salaire net imposable', 2.5), ('BULLETIN_SALAIRE', 'net a payer', 1.5), ('BULLETIN_SALAIRE', 'cotisation cnss', 1.5),
+('BULLETIN_SALAIRE', 'retenues', 1.0), ('BULLETIN_SALAIRE', 'gains', 1.0), ('ATTESTATION_TRAVAIL', 'attestation de travail', 5.0), ('ATTESTATION_TRAVAIL', 'nous soussignes', 2.5), ('ATTESTATION_TRAVAIL', 'nous soussigne', 2.5),
+('ATTESTATION_TRAVAIL', 'certifions que', 2.0), ('ATTESTATION_TRAVAIL', 'date d embauche', 1.5), ('ATTESTATION_TRAVAIL', 'poste occupe', 1.5), ('QUITTANCE', 'avis de facturation', 4.0), ('QUITTANCE', 'periode de consommation', 2.5),
+('QUITTANCE', 'date limite de paiement', 1.5), ('QUITTANCE', 'net a payer', 1.0), ('QUITTANCE', 'lydec', 3.0), ('QUITTANCE', 'amendis', 3.0), ('QUITTANCE', 'maroc telecom', 3.0), ('QUITTANCE', 'electricite', 0.75), ('QUITTANCE', 'consommation', 0.75))"""
+_LOWER = "trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query(_classes())
+@query(f"""WITH {_KEYWORDS}, d AS (SELECT doc_id, {_LOWER} AS t FROM documents), s AS (SELECT doc_id, k, sum(CASE WHEN contains(t, word) THEN w ELSE 0 END)::DOUBLE AS v FROM d, kw GROUP BY doc_id, k),
+r AS (SELECT doc_id, k, v, row_number() OVER (PARTITION BY doc_id ORDER BY v DESC, k) AS r, sum(v) OVER (PARTITION BY doc_id) AS total FROM s),
+b AS (SELECT doc_id, max(total) AS total, max(CASE WHEN r = 1 THEN k END) AS k, max(CASE WHEN r = 1 THEN v END) AS v1, max(CASE WHEN r = 2 THEN v END) AS v2 FROM r GROUP BY doc_id),
+c AS (SELECT *, v1 >= 2.0 AND round(v1 - v2, 4) >= 0.75 AS known FROM b)
+SELECT doc_id, CASE WHEN known THEN k ELSE 'UNKNOWN' END AS doc_class, v1 AS class_score, round(v1 - v2, 4) AS class_margin, CASE WHEN known THEN round(v1 / greatest(total, v1, 1.0), 4) ELSE 0.0 END AS class_confidence FROM c""")
 def s27_keyword_classes(spark, d):
     docs = table(spark, d, "documents").select("doc_id", T.lower_words(F.col("text")).alias("norm"))
     return classify.classify(docs, "norm").select("doc_id", "doc_class", "class_score", "class_margin", "class_confidence")
 
 
+@query(f"""WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents), h AS (SELECT doc_id, contains(t, 'cih bank')::INT + contains(t, 'cihmamc')::INT + contains(t, 'cih')::INT AS c, contains(t, 'attijariwafa')::INT + contains(t, 'attijari')::INT + contains(t, 'bcmamamc')::INT AS a FROM d)
+SELECT doc_id, CASE WHEN c > a THEN 'CIH' WHEN a > c THEN 'ATTIJARI' ELSE 'UNKNOWN' END AS bank, CASE WHEN c <> a THEN round(greatest(a, c) / (a + c), 4) ELSE 0.0 END AS confidence FROM h""")
+def s28_bank_keywords(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce(T.lower_words(F.col("text")), F.lit("")).alias("norm"))
+    return docs.select("doc_id", classify.detect_bank(F.col("norm")).alias("b")).select("doc_id", "b.bank", "b.confidence")
+
+
 @query("""WITH s AS (SELECT l_orderkey, sum(l_extendedprice) AS v FROM lineitem GROUP BY l_orderkey), j AS (SELECT o_orderkey, o_totalprice AS r, v FROM orders LEFT JOIN s ON o_orderkey = l_orderkey), x AS (SELECT o_orderkey, abs(v - r) / greatest(abs(r), 1.0) AS x FROM j)
 SELECT o_orderkey, CASE WHEN x IS NULL THEN NULL WHEN x <= 0.02 THEN 0.0::DOUBLE WHEN x <= 0.05 THEN 0.25 WHEN x <= 0.10 THEN 0.5 WHEN x <= 0.20 THEN 0.75 ELSE 1.0 END AS score FROM x""")
 def s22_amount_ladder(spark, d):

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tamis.functions import values as V
 from tamis.operators import audit, calibration, classify, compare, fields, layout, mutate, network, quality, series
 
 
@@ -72,18 +73,10 @@ def test_medoid_among_more_than_twenty_values(spark):
 def test_shared_identifiers(spark):
     rows = [("D1", "RIB", "r1", "a"), ("D1", "CIN", "c1", "a"), ("D2", "RIB", "r1", "b"), ("D2", "CIN", "c2", "b"), ("D3", "RIB", "r2", "c"), ("D4", "RIB", "r2", "d"), ("D3", "CIN", "c1", "c"), ("D4", "CIN", "c1", "d"), ("D5", "RIB", "r3", "e"), ("D6", "RIB", "r3", "f"), ("D7", "RIB", " ", "g"), ("D8", "RIB", None, "h")]
     prof = network.profile(spark.createDataFrame(rows, "f STRING, n STRING, v STRING, d STRING"), "f", "n", "v", "d")
-    got = {(r.f, r.v): (r.files, r.identities, r.score) for r in network.identities_behind(prof, "f", "n", "v", "RIB", "CIN").collect()}
-    assert got == {("D1", "r1"): (2, 2, 1.0), ("D2", "r1"): (2, 2, 1.0), ("D3", "r2"): (2, 1, 0.0), ("D4", "r2"): (2, 1, 0.0), ("D5", "r3"): (2, 0, None), ("D6", "r3"): (2, 0, None)}
     assert {r.v: r.score for r in network.group_scores(prof, "f", "n", "v", "RIB", "CIN").collect()} == {"r1": 0.25, "r2": 0.0}
     assert sorted((r.f, r.hub) for r in network.links_between(prof, "f", "n", "v", "RIB").collect()) == [("D2", "D1"), ("D4", "D3"), ("D6", "D5")]
 
 
-def test_same_identifier_with_other_names(spark):
-    rows = [("D1", "CIN", "c"), ("D2", "CIN", "c"), ("D1", "NOM", "NADIA ALAMI"), ("D2", "NOM", "ALAMI NADIA"), ("D3", "CIN", "e"), ("D4", "CIN", "e"), ("D3", "NOM", "NADIA ALAMI"), ("D4", "NOM", "ZOUHAIR BXT")]
-    prof = network.profile(spark.createDataFrame([(*r, "d") for r in rows], "f STRING, n STRING, v STRING, d STRING"), "f", "n", "v", "d")
-    assert {r.v: (r.labels, r.score) for r in network.names_behind(prof, "f", "n", "v", "CIN", "NOM").collect()} == {"c": (2, 0.0), "e": (2, 1.0)}
-
-
 def test_names_of_all_files_with_the_same_identifier(spark):
     from difflib import SequenceMatcher
 
@@ -133,16 +126,60 @@ def test_quality(spark):
     docs = spark.createDataFrame([("f", t) for t in ["CIN", "CIN", "RIB", "QUITTANCE", "RELEVE_BANCAIRE", "AUTRE", None]], "f STRING, t STRING")
     r = quality.completeness(docs, "f", "t").first()
     assert (r.n_documents, r.missing, r.extra, r.complete) == (7, "ATTESTATION_TRAVAIL|BULLETIN_SALAIRE|RELEVE_BANCAIRE", "CIN|AUTRE", False)
-    vals = spark.createDataFrame([("BK123456", 0.9, True), ("bk", 0.9, True), (None, 0.9, True), (" ", 0.9, False), ("BK123456", 0.5, True), ("BK123456", None, True)], "v STRING, c DOUBLE, r BOOLEAN")
-    st = vals.select(quality.field_status(F.col("v"), quality.valid_cin(F.col("v")), F.col("c"), F.col("r")).alias("s"))
-    assert [x.s for x in st.collect()] == ["VALID", "INVALID_FORMAT", "MISSING", "OPTIONAL_MISSING", "LOW_CONFIDENCE", "VALID"]
-    rolled = quality.document_status(spark.createDataFrame([("a", "MISSING"), ("a", "INVALID_FORMAT"), ("b", "INVALID_FORMAT"), ("c", "LOW_CONFIDENCE"), ("d", "VALID")], "k STRING, s STRING"), ["k"], "s")
-    assert {r.k: r.document_status for r in rolled.collect()} == {"a": "INCOMPLETE", "b": "INVALID", "c": "TO_REVIEW", "d": "VALID"}
+    rows = [
+        ("EXTRACTED", "bk 123456", "BK123456", 0.9, True), ("EXTRACTED", "x", "bk", 0.9, True), ("MISSING", None, None, 0.9, True), ("MISSING", None, None, 0.9, False), ("EXTRACTED", "?", None, 0.9, True), ("EXTRACTED", "?", None, 0.9, False),
+        ("EXTRACTED", "x", "BK123456", 0.69, True), ("EXTRACTED", "x", "BK123456", None, True), ("TO_REVIEW", "x", "BK123456", 0.1, True), ("TO_REVIEW", "x", "bk", 0.9, True), ("ABSENT_DU_TEMPLATE", "x", "BK123456", 0.9, True), (None, "x", "BK123456", 0.7, True),
+    ]
+    vals = spark.createDataFrame(rows, "e STRING, raw STRING, v STRING, c DOUBLE, r BOOLEAN")
+    st = vals.select(quality.field_status(F.col("e"), F.col("raw"), F.col("v"), quality.valid_value(F.lit("cin"), F.col("v")), F.col("c"), F.col("r")).alias("s"))
+    assert [x.s for x in st.collect()] == ["VALID", "INVALID_FORMAT", "MISSING", "OPTIONAL_MISSING", "INVALID_FORMAT", "INVALID_FORMAT", "LOW_CONFIDENCE", "LOW_CONFIDENCE", "TO_REVIEW", "INVALID_FORMAT", "ABSENT_DU_TEMPLATE", "VALID"]
+    kept = [("a", "MISSING", True), ("a", "INVALID_FORMAT", True), ("b", "INVALID_FORMAT", True), ("c", "LOW_CONFIDENCE", True), ("d", "VALID", True), ("e", "INVALID_FORMAT", False), ("f", "LOW_CONFIDENCE", False), ("f", "OPTIONAL_MISSING", False)]
+    rolled = quality.document_status(spark.createDataFrame([(k, "CIN", s, r) for k, s, r in kept] + [("g", "AUTRE", "MISSING", True), ("h", None, "VALID", False)], "k STRING, t STRING, s STRING, r BOOLEAN"), ["k"], "s", "r", "t")
+    assert {r.k: r.document_status for r in rolled.collect()} == {"a": "INCOMPLETE", "b": "INVALID", "c": "TO_REVIEW", "d": "VALID", "e": "TO_REVIEW", "f": "VALID", "g": "NOT_IMPLEMENTED", "h": "NOT_IMPLEMENTED"}
+
+
+def test_normalised_and_valid_values(spark):
+    rows = [("cin", "bk 123-456", "BK123456"), ("rib", " 12 34x", "1234"), ("iban", "ma12 34", "MA1234"), ("nom", " el  Alami2", "EL ALAMI"), ("date_facture", "7/1/2024", "2024-01-07"), ("periode", "3/2024", "2024-03"), ("net_a_payer", "1 234,50 DH", "1234.5"), ("cachet_present", "oui", "true"), ("sexe", "masculin", "M"), ("banque", "Attijari wafa-bank", "ATTIJARIWAFA BANK"), ("banque", "Autre banque", "AUTRE BANQUE"), ("poste", " médecin ", "MEDECIN"), ("adresse", "n°5, Rue é", None), ("date_facture", "jamais", None), ("autre", "né", "NE"), ("nom", None, None)]
+    df = spark.createDataFrame(rows, "n STRING, raw STRING, expected STRING").withColumn("v", quality.normalised_value(F.col("n"), F.col("raw")))
+    got = df.withColumn("ok", quality.valid_value(F.col("n"), F.col("v"))).collect()
+    assert all(r.v == r.expected for r in got if r.n != "adresse") and all(r.ok for r in got if r.v is not None) and not any(r.ok for r in got if r.v is None)
+    bad = spark.createDataFrame([("cin", "K1"), ("rib", "1a"), ("iban", "ma1"), ("nom", "A"), ("nom", "AB1"), ("date_facture", "2024-13-01"), ("periode", "2024-13"), ("net_a_payer", "x"), ("cachet_present", "peut-être"), ("sexe", "X"), ("ville", "A")], "n STRING, v STRING")
+    assert not any(r[0] for r in bad.select(quality.valid_value(F.col("n"), F.col("v"))).collect())
+    tx = spark.createDataFrame([([("01/02", "x", 1.0, "D")],), ([("01/02", "x", None, "D")],), ([("01/02", "x", 1.0, "Z")],), ([],), (None,), ([None],)], "t ARRAY<STRUCT<date: STRING, libelle: STRING, montant: DOUBLE, sens: STRING>>")
+    assert [r[0] for r in tx.select(quality.valid_transactions(F.col("t"))).collect()] == [True, False, False, False, False, False]
+
+
+def test_roll_ups_of_normalisation_and_extraction(spark):
+    rows = [("a", "cin", "x", "X", "EXTRACTED", True), ("a", "nom", None, None, "MISSING", True), ("a", "rib", "?", None, "EXTRACTED", False), ("b", "cin", "x", "X", "TO_REVIEW", True), ("b", "iban", None, None, "ABSENT_DU_TEMPLATE", True), ("c", "cin", "x", "X", None, True)]
+    df = spark.createDataFrame(rows, "k STRING, n STRING, raw STRING, v STRING, e STRING, r BOOLEAN")
+    norm = df.withColumn("s", quality.normalisation_status(F.col("e"), F.col("raw"), F.col("v")))
+    assert {r.k: tuple(r)[1:] for r in quality.normalisation_roll_up(norm, ["k"], "n", "s").collect()} == {"a": ("TO_REVIEW", 1, "nom", "", "rib"), "b": ("OK", 1, "", "iban", ""), "c": ("OK", 1, "", "", "")}
+    assert {r.k: tuple(r)[1:] for r in quality.extraction_roll_up(df, ["k"], "n", "raw", "e", "r").collect()} == {"a": ("INCOMPLETE", "nom", ""), "b": ("TO_REVIEW", "", "cin"), "c": ("OK", "", "")}
+
+
+def test_banks_months_and_document_types(spark):
+    df = spark.createDataFrame([("cih bank agence",), ("attijariwafa bank",), ("cih et attijari",), ("rien",), ("",)], "t STRING").select(classify.detect_bank(F.col("t")).alias("b"))
+    assert [(r.b.bank, r.b.confidence) for r in df.collect()] == [("CIH", 1.0), ("ATTIJARI", 1.0), ("UNKNOWN", 0.0), ("UNKNOWN", 0.0), ("UNKNOWN", 0.0)]
+    p = spark.createDataFrame([("Février 2024",), ("2024/3",), ("11-2023",), ("du 01/02/2024",), ("août",), ("déc. 2025",), ("",), (None,)], "t STRING").select(V.period_in_words(F.col("t")).alias("p"), V.partial_date(F.col("t")).alias("d"))
+    assert [r.p for r in p.collect()] == ["2024-02", "2024-03", "2023-11", "2024-02", None, "2025-12", None, None]
+    d = spark.createDataFrame([("05/02",), ("0 5/02 ",), ("5/2/2024",), ("x",)], "t STRING").select(V.partial_date(F.col("t")).alias("d"))
+    assert [r.d for r in d.collect()] == ["05/02", "05/02", "2024-02-05", None]
+    k = spark.createDataFrame([("Bulletin de salaire",), ("RELEVÉ_BANCAIRE",), ("cin",), ("autre chose",), (None,)], "t STRING").select(fields.document_type(F.col("t")).alias("k"))
+    assert [r.k for r in k.collect()] == ["BULLETIN_SALAIRE", "RELEVE_BANCAIRE", "CIN", "AUTRE_CHOSE", None]
+
+
+def test_predecessors_over_gaps_and_ranges(spark):
+    ids = sorted({f"D{n * n:05}" for n in range(60)} | {"A", "zz"})
+    got = {r.target: r.donor for r in mutate.predecessors(spark.createDataFrame([(i,) for i in ids + ids[:5]] + [(None,)], "i STRING").repartition(4), "i").collect()}
+    assert got == dict(zip(ids[1:], ids))
+    assert mutate.predecessors(spark.createDataFrame([], "i STRING"), "i").count() == 0
 
 
 def test_classification(spark):
-    df = spark.createDataFrame([("attestation de travail nous soussignes date d embauche",), ("carte d identite date de naissance",), ("releve",), ("",), (None,), ("attestation bulletin",)], "t STRING")
-    assert [r.doc_class for r in classify.classify(df, "t").collect()] == ["ATTESTATION", "IDENTITE", "RELEVE", "UNKNOWN", "UNKNOWN", "UNKNOWN"]
+    df = spark.createDataFrame([("attestation de travail nous soussignes date d embauche",), ("carte d identite numero d identifiant date de naissance",), ("releve de compte",), ("",), (None,), ("bulletin de paie attestation de travail",)], "t STRING")
+    got = classify.classify(df, "t").collect()
+    assert [r.doc_class for r in got] == ["ATTESTATION_TRAVAIL", "CIN", "RELEVE_BANCAIRE", "UNKNOWN", "UNKNOWN", "UNKNOWN"]
+    assert [r.class_confidence for r in got] == [1.0, 1.0, 1.0, 0.0, 0.0, 0.0] and got[5].class_score == 5.0
 
 
 def test_audit(spark):
@@ -229,7 +266,7 @@ def test_operators_on_empty_tables(spark):
     assert series.adjacent_breaks(e, "k", ["p"], "x", "x").count() == series.consecutive(e, "k", "p").count() == series.gap_clusters(e, "k", ["p"], "x", 1).count() == series.largest_gap(e, "k", "x").count() == 0
     assert compare.unique_match(e, e.withColumnRenamed("x", "z"), ["k"], "x", "z").count() == compare.medoid_reference(e, ["k"], "v", F.lit(0), "d").count() == compare.exact_consistency(e, ["k"], "v", F.lit(0), "d").count() == 0
     prof = network.profile(e, "k", "n", "v", "d")
-    assert network.identities_behind(prof, "k", "n", "v", "A", "B").count() == network.links_between(prof, "k", "n", "v", "A").count() == 0
+    assert network.links_between(prof, "k", "n", "v", "A").count() == 0
     assert calibration.confusion(e, "y", "p").first().precision is None and calibration.auc(e, "y", "x").first().auc is None
     assert quality.completeness(e, "k", "n").count() == audit.field_catalog(e, "n", "v", "k", "d").count() == audit.seeded_sample(e, "k", 1, 5).count() == 0
 
