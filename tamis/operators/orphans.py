@@ -1,8 +1,9 @@
-"""References to rows that don't exist, by a split on the weight of the key.
+"""References to rows that don't exist, found key by key before any row is moved.
 
-References are pre-aggregated by key and period. The `HEAVY` heaviest keys, a list of fixed length, are
-looked up once and checked by broadcast, so no task ever gathers the rows of a hot key; the other keys,
-of which none holds more than one row in `HEAVY`, are checked by a shuffled join. Both sets are united.
+References are pre-aggregated by key and period, then by key, with their number and earliest load. An anti-join of these keys
+with the targets that exist in time leaves the keys that are bad for at least one row; no key gathers rows there, since each is one
+row. The rows of bad keys are then picked: by broadcast while the bad keys are few, their number being counted; beyond that
+the `HEAVY` heaviest of them by broadcast, a list of fixed length, and the rest by a shuffled join. Both parts are united.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.session import table
+from tamis.session import durable, table
 
 #: Length of the list of heavy keys: the bound of what is broadcast.
 HEAVY = 1000
-#: A key with fewer rows than this is never worth a broadcast.
+#: A key with fewer rows than this is never worth a broadcast of its own.
 HEAVY_ROWS = 5000
+#: Bad keys that are broadcast as a whole: about 10 MB of keys.
+FEW_KEYS = 100_000
 PLACEHOLDER = "DOSSIER_UNKNOWN"
 
 
@@ -68,29 +71,51 @@ def motif(charge: str = "charge") -> Column:
     return F.when(F.col("cible_supprimee").isNull(), "ABSENT").when(F.col("cible_supprimee"), "SUPPRIME").when(F.col("cible_charge") > F.col(charge), "TARDIF")
 
 
-def heavy_keys(refs: DataFrame, heavy: int = HEAVY, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def reference_keys(refs: DataFrame) -> DataFrame:
+    """(cible, cle, n, premiere): every key that is referred to, with its number of rows and its earliest load, aggregated by period first."""
+    per_period = refs.groupBy("cible", "cle", F.date_format("charge", "yyyy-MM").alias("periode")).agg(F.count("*").alias("n"), F.min("charge").alias("premiere"))
+    return per_period.groupBy("cible", "cle").agg(F.sum("n").alias("n"), F.min("premiere").alias("premiere"))
+
+
+def bad_keys(refs: DataFrame, targets: DataFrame) -> DataFrame:
+    """(cible, cle, n, cible_charge, cible_supprimee): keys that are absent, deleted, or later than their earliest reference."""
+    key = ["cible", "cle"]
+    keys = reference_keys(refs)
+    good = targets.filter(~F.col("cible_supprimee"))
+    late = F.coalesce(F.col("g.cible_charge") > F.col("k.premiere"), F.lit(False))
+    bad = keys.alias("k").join(good.alias("g"), (F.col("k.cible") == F.col("g.cible")) & (F.col("k.cle") == F.col("g.cle")) & ~late, "left_anti")
+    return bad.select(*key, "n").join(targets, key, "left")
+
+
+def heaviest(keys: DataFrame, heavy: int = HEAVY, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """The `heavy` keys with the most rows, as a driver-side list of at most that length."""
-    per_period = refs.groupBy("cible", "cle", F.date_format("charge", "yyyy-MM").alias("periode")).agg(F.count("*").alias("n"))
-    top = per_period.groupBy("cible", "cle").agg(F.sum("n").alias("n")).filter(F.col("n") >= heavy_rows).orderBy(F.desc("n"), "cible", "cle").limit(heavy)
-    found = [(r.cible, r.cle) for r in top.select("cible", "cle").collect()]
-    return refs.sparkSession.createDataFrame(found, "cible STRING, cle STRING")
+    top = keys.filter(F.col("n") >= heavy_rows).orderBy(F.desc("n"), "cible", "cle").limit(heavy)
+    return keys.sparkSession.createDataFrame([(r.cible, r.cle) for r in top.select("cible", "cle").collect()], "cible STRING, cle STRING")
+
+
+def heavy_keys(refs: DataFrame, heavy: int = HEAVY, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """heaviest() of all keys that are referred to."""
+    return heaviest(reference_keys(refs), heavy, heavy_rows)
 
 
-def orphans(refs: DataFrame, targets: DataFrame, heavy: int = HEAVY, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def orphans(refs: DataFrame, targets: DataFrame, heavy: int = HEAVY, heavy_rows: int = HEAVY_ROWS, few_keys: int = FEW_KEYS) -> DataFrame:
     """(table_nom, ligne_id, colonne, motif, periode): one row for each reference that has no row in time.
 
     ABSENT: no such key. SUPPRIME: its row is deleted. TARDIF: its earliest row is later than the referring one.
     Null, blank and placeholder keys are no references. Repeated rows (same id and key) count once with their
     earliest load; a row with a null load is never TARDIF and has a null period; null row ids form one row per key.
     """
-    hot = heavy_keys(refs, heavy, heavy_rows)
     key = ["cible", "cle"]
-    hot_status = hot.join(targets.join(F.broadcast(hot), key, "left_semi"), key, "left")
-    by_broadcast = refs.join(F.broadcast(hot_status), key)
-    by_shuffle = refs.join(F.broadcast(hot), key, "left_anti").join(targets, key, "left")
+    bad = durable(bad_keys(refs, targets))
+    if bad.count() <= few_keys:
+        rows = refs.join(F.broadcast(bad.drop("n")), key)
+    else:
+        hot = heaviest(bad, heavy, heavy_rows)
+        by_broadcast = refs.join(F.broadcast(bad.drop("n").join(F.broadcast(hot), key)), key)
+        by_shuffle = refs.join(F.broadcast(hot), key, "left_anti").join(bad.drop("n"), key)
+        rows = by_broadcast.unionByName(by_shuffle)
     # a copy that is itself in time can't be the earliest of a late reference, so it may go before the grouping
-    bad = by_broadcast.unionByName(by_shuffle).filter(motif().isNotNull())
-    once = bad.groupBy("table_nom", "colonne", "ligne_id", "cle", "cible_charge", "cible_supprimee").agg(F.min("charge").alias("charge"))
+    once = rows.filter(motif().isNotNull()).groupBy("table_nom", "colonne", "ligne_id", "cle", "cible_charge", "cible_supprimee").agg(F.min("charge").alias("charge"))
     return once.select("table_nom", "ligne_id", "colonne", motif().alias("motif"), F.date_format("charge", "yyyy-MM").alias("periode")).distinct()
 
 

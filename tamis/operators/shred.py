@@ -1,8 +1,9 @@
 """Nested JSON records into flat tables that keep their parent and child positions.
 
-Each record is parsed once, walked as a stream of (path, ordinals, value) triples, the triples are grouped by
+Each record is decoded once and walked as a stream of (path, ordinals, value) triples, the triples are grouped by
 their repeated ancestor and every group becomes one row. All triples of a record arise in one task, one record
-after the other, so the grouping needs no shuffle and holds one object at a time.
+after the other, so the grouping needs no shuffle and holds one object at a time. A record is decoded whole: one that is
+cut off must give no row at all, and of members with the same name the last counts, so no row is sure before the end.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ class Level:
     when: tuple[str, str] | None = None
     children: tuple["Level", ...] = field(default=())
 
+    def reaches(self, wanted: frozenset[str] | None) -> bool:
+        """Is this level wanted, or one below it?"""
+        return wanted is None or self.name in wanted or any(c.reaches(wanted) for c in self.children)
+
 
 #: Dossier payloads: documents, their fields, and the transactions of the field of that name.
 DOSSIER = Level("document", ("documents",), children=(Level("field", ("fields",), children=(Level("transaction", ("normalized_value", "raw_value"), when=("field_name", "transactions")),)),))
@@ -60,13 +65,16 @@ def _text(value: object) -> str | None:
     return _utf8(value) if isinstance(value, str) else json.dumps(value, ensure_ascii=True)
 
 
-def triples(obj: dict, level: Level, ordinals: tuple[int, ...] = ()) -> Iterator[tuple[str, tuple[int, ...], str | None, str | None]]:
+def triples(obj: dict, level: Level, ordinals: tuple[int, ...] = (), wanted: frozenset[str] | None = None) -> Iterator[tuple[str, tuple[int, ...], str | None, str | None]]:
     """(level, ordinals, path below the repeated ancestor, value) of every leaf under one level of a parent.
 
     Each object first gives a triple with an empty path, so that an object without members still gives a row.
     A single object stands for a list of one; elements that aren't objects count in the ordinals only. The member that
-    the objects of a level below are taken from gives no leaf of its own; its other sources do.
+    the objects of a level below are taken from gives no leaf of its own; its other sources do. Of levels that aren't wanted
+    nothing is read but what the way to a wanted one needs.
     """
+    if not level.reaches(wanted):
+        return
     if level.when and obj.get(level.when[0]) != level.when[1]:
         return
     found = next((obj[s] for s in level.sources if obj.get(s) is not None), None)
@@ -74,6 +82,10 @@ def triples(obj: dict, level: Level, ordinals: tuple[int, ...] = ()) -> Iterator
         if not isinstance(item, dict):
             continue
         at = (*ordinals, i)
+        for child in level.children:
+            yield from triples(item, child, at, wanted)
+        if wanted is not None and level.name not in wanted:
+            continue
         yield level.name, at, "", None
         used = [next((s for s in c.sources if item.get(s) is not None), None) for c in level.children if not c.when or item.get(c.when[0]) == c.when[1]]
         below = {s for s in used if isinstance(item.get(s), (dict, list))}
@@ -87,23 +99,21 @@ def triples(obj: dict, level: Level, ordinals: tuple[int, ...] = ()) -> Iterator
                     stack.append((f"{prefix}{key}.", value))
                 else:
                     yield level.name, at, _utf8(prefix + key), _text(value)
-        for child in level.children:
-            yield from triples(item, child, at)
 
 
-def rows(record: object, level: Level) -> Iterator[tuple[str, tuple[int, ...], dict[str, str | None]]]:
+def rows(record: object, level: Level, wanted: frozenset[str] | None = None) -> Iterator[tuple[str, tuple[int, ...], dict[str, str | None]]]:
     """One row for each repeated ancestor: its triples pivoted into one mapping."""
     if isinstance(record, dict):
-        for (name, at), group in groupby(triples(record, level), key=lambda t: t[:2]):
+        for (name, at), group in groupby(triples(record, level, (), wanted), key=lambda t: t[:2]):
             yield name, at, {path: value for _, _, path, value in group if path}
 
 
-def _run(level: Level):
+def _run(level: Level, wanted: frozenset[str] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for batch in batches:
             for record_id, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for name, at, vals in rows(parse(payload.as_py()), level):
+                for name, at, vals in rows(parse(payload.as_py()), level, wanted):
                     out.append((record_id, name, *(*at, 0, 0)[:3], list(vals.items())))
                     if len(out) >= _FLUSH:
                         yield _batch(out)
@@ -118,14 +128,21 @@ def _batch(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _ARROW)], schema=_ARROW)
 
 
-def shred(df: DataFrame, record_id: str = "raw_id", payload: str = "payload", level: Level = DOSSIER) -> DataFrame:
-    """One row for each object of every level: positions of it and its ancestors (0 below its level) and its leaves.
+def shred(df: DataFrame, record_id: str = "raw_id", payload: str = "payload", level: Level = DOSSIER, wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """One row for each object of every level, or of the wanted ones: positions of it and its ancestors (0 below its level) and its leaves.
 
     Null, empty, cut-off and otherwise invalid payloads, and payloads whose root isn't an object, give no rows.
     A row with a null id gives rows with a null id; repeated ids give the rows of each payload. Other columns are
     ignored. Members of the same name: the last counts. Nested objects get dotted paths, other lists JSON text.
     """
-    return df.select(F.col(record_id).cast("bigint"), F.col(payload).cast("string")).mapInArrow(_run(level), ROWS)
+    return df.select(F.col(record_id).cast("bigint"), F.col(payload).cast("string")).mapInArrow(_run(level, None if wanted is None else frozenset(wanted)), ROWS)
+
+
+def write_levels(shredded: DataFrame, path: str) -> dict[str, DataFrame]:
+    """The rows of every level, written below `path` by level in one pass over the records; the tables that were written, by level."""
+    shredded.write.mode("overwrite").partitionBy("niveau").parquet(path)
+    written = shredded.sparkSession.read.schema(shredded.schema).parquet(path)
+    return {r.niveau: written.filter(F.col("niveau") == r.niveau) for r in written.select("niveau").distinct().collect()}
 
 
 def level_table(shredded: DataFrame, niveau: str, positions: list[str], columns: dict[str, str], rest: str | None = None) -> DataFrame:

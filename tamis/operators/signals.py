@@ -274,12 +274,14 @@ def text_checks(records: DataFrame, file: str = "dossier_id", block: int = 500)
     """Checks of the fields that must be alike - texts, addresses, dates: every document against the medoid of the most trusted type."""
     names = [n for n, r in FIELD_RULES.items() if r.kind != "exact"]
     rows = usable_records(records.filter(F.col("field").isin(*names)), file)
-    units = rows.groupBy(file, "field", "doc", "value").agg(F.min("p").alias("p"), F.count("*").alias("n"))
     kind = lambda k: F.col("field").isin(*(n for n, r in FIELD_RULES.items() if r.kind == k))
+    # texts and addresses are compared by their words, so writings with the same words count as one before any pair is made
+    words = F.when(kind("date"), F.col("value")).when(kind("address"), T.address_words(F.col("value"))).otherwise(T.upper_words(F.col("value")))
+    units = rows.withColumn("value", words).groupBy(file, "field", "doc", "value").agg(F.min("p").alias("p"), F.count("*").alias("n"))
 
     def similarity(pairs: DataFrame) -> DataFrame:
-        words = lambda c: F.when(kind("address"), T.address_words(F.col(c))).otherwise(T.upper_words(F.col(c)))
-        rated = add_text_similarity(pairs.withColumns({"_x": words("a"), "_y": words("b")}), "_x", "_y", "s", numbers=kind("address"))
+        plain = lambda c: F.regexp_replace(F.col(c), "[^A-Z0-9]+", " ")  # of a date too
+        rated = add_text_similarity(pairs.withColumns({"_x": plain("a"), "_y": plain("b")}), "_x", "_y", "s", numbers=kind("address"))
         return rated.withColumn("w", F.when(kind("date"), date_score(F.col("a"), F.col("b"))).otherwise(at_least(F.col("s"))))
 
     found = medoids(units, [file, "field"], similarity, block)

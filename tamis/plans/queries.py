@@ -10,8 +10,8 @@ from tamis.plans import dossier, generic, signals
 from tamis.session import table
 
 
-def _shredded(spark, d):
-    return S.shred(table(spark, d, "dossier_brut"))
+def _shredded(spark, d, *levels):
+    return S.shred(table(spark, d, "dossier_brut"), wanted=levels or None)
 
 
 def p2_found(spark, d):
@@ -25,7 +25,7 @@ def _raw(df):
 
 def p2_documents(spark, d, rest=None):
     cols = {c: c for c in ("dossier_id", "doc_id", "doc_type", "template_id")} | {"classification_status": "classification.status"}
-    return _raw(S.level_table(_shredded(spark, d), "document", ["doc_pos"], cols, rest))
+    return _raw(S.level_table(_shredded(spark, d, "document"), "document", ["doc_pos"], cols, rest))
 
 
 def p2_documents_all(spark, d):
@@ -35,13 +35,13 @@ def p2_documents_all(spark, d):
 
 def p2_fields(spark, d):
     cols = {c: c for c in ("field_name", "raw_value", "normalized_value", "status", "confidence")} | {"evidence_texts": "evidence.texts"}
-    out = _raw(S.level_table(_shredded(spark, d), "field", ["doc_pos", "field_pos"], cols, "others"))
+    out = _raw(S.level_table(_shredded(spark, d, "field"), "field", ["doc_pos", "field_pos"], cols, "others"))
     return out.withColumn("confidence", F.col("confidence").try_cast("double"))
 
 
 def p2_transactions(spark, d, rest=None):
     cols = {c: c for c in ("date", "libelle", "montant", "sens")}
-    out = _raw(S.level_table(_shredded(spark, d), "transaction", ["doc_pos", "field_pos", "tx_pos"], cols, rest))
+    out = _raw(S.level_table(_shredded(spark, d, "transaction"), "transaction", ["doc_pos", "field_pos", "tx_pos"], cols, rest))
     return out.withColumn("montant", F.col("montant").try_cast("double"))
 
 

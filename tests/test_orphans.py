@@ -35,8 +35,9 @@ EXPECTED = [
 def test_all_reasons_by_broadcast_and_by_shuffle(spark, heavy_rows):
     key = lambda r: tuple(str(x) for x in r)
     got = tables(spark, CHILDREN, PARENTS)
-    rows = orphans(reference_rows(got, REFS), target_rows(got, REFS), heavy_rows=heavy_rows).collect()
-    assert sorted(map(key, rows)) == sorted(map(key, EXPECTED))
+    for few_keys in (0, 100):
+        rows = orphans(reference_rows(got, REFS), target_rows(got, REFS), heavy_rows=heavy_rows, few_keys=few_keys).collect()
+        assert sorted(map(key, rows)) == sorted(map(key, EXPECTED))
 
 
 def test_list_of_heavy_keys_is_bounded(spark):
@@ -44,7 +45,7 @@ def test_list_of_heavy_keys_is_bounded(spark):
 
     t = tables(spark, [(str(i), f"K{i % 20}", T(1), "x") for i in range(200)], [])
     assert heavy_keys(reference_rows(t, REFS), heavy=3, heavy_rows=1).count() == 3
-    assert len(run(spark, [(str(i), f"K{i % 20}", T(1), "x") for i in range(200)], [], heavy=3, heavy_rows=1)) == 200
+    assert len(run(spark, [(str(i), f"K{i % 20}", T(1), "x") for i in range(200)], [], heavy=3, heavy_rows=1, few_keys=2)) == 200
 
 
 def test_empty_tables(spark):

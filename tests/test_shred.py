@@ -70,3 +70,17 @@ def test_registered_tables_have_all_leaves(spark, tmp_path):
     spark.createDataFrame([(1, p)], "raw_id BIGINT, payload STRING").write.parquet(str(tmp_path / "dossier_brut.parquet"))
     got = [e.queries()[n](spark, str(tmp_path)).first().others for n in ("p2_documents_all", "p2_fields", "p2_transactions_all")]
     assert got == [{"v": "1"}, {"w": "2"}, {"x": "3"}]
+
+
+def test_wanted_levels_are_those_of_all_levels(spark, tmp_path):
+    from tamis.operators.shred import shred, write_levels
+
+    payloads = ['{"documents": [{"doc_id": "a", "fields": [{"field_name": "transactions", "raw_value": [{"libelle": "x"}, 3]}, {"field_name": "y"}]}, 7]}', '{"documents": {"doc_id": "b"}}', "{", None]
+    df = spark.createDataFrame(list(enumerate(payloads)), "raw_id BIGINT, payload STRING")
+    rows = lambda d: sorted((r.record_id, r.niveau, r.pos1, r.pos2, r.pos3, sorted(r.vals.items())) for r in d.collect())
+    whole = rows(shred(df))
+    assert len(whole) == 5
+    written = write_levels(shred(df), str(tmp_path / "levels"))
+    for level in ("document", "field", "transaction"):
+        own = [r for r in whole if r[1] == level]
+        assert own and rows(shred(df, wanted=(level,))) == own and rows(written[level]) == own
