@@ -82,23 +82,27 @@ def triples(obj: dict, level: Level, ordinals: tuple[int, ...] = (), wanted: fro
         if not isinstance(item, dict):
             continue
         at = (*ordinals, i)
+        if wanted is None or level.name in wanted:
+            yield level.name, at, "", None
+            yield from ((level.name, at, path, value) for path, value in _leaves(item, level))
         for child in level.children:
             yield from triples(item, child, at, wanted)
-        if wanted is not None and level.name not in wanted:
-            continue
-        yield level.name, at, "", None
-        used = [next((s for s in c.sources if item.get(s) is not None), None) for c in level.children if not c.when or item.get(c.when[0]) == c.when[1]]
-        below = {s for s in used if isinstance(item.get(s), (dict, list))}
-        stack = [("", item)]
-        while stack:
-            prefix, node = stack.pop()
-            for key, value in node.items():
-                if not prefix and key in below:
-                    continue
-                if isinstance(value, dict):
-                    stack.append((f"{prefix}{key}.", value))
-                else:
-                    yield level.name, at, _utf8(prefix + key), _text(value)
+
+
+def _leaves(item: dict, level: Level) -> Iterator[tuple[str, str | None]]:
+    """(dotted path, value) of the leaves of an object that don't belong to a level below."""
+    used = [next((s for s in c.sources if item.get(s) is not None), None) for c in level.children if not c.when or item.get(c.when[0]) == c.when[1]]
+    below = {s for s in used if isinstance(item.get(s), (dict, list))}
+    stack = [("", item)]
+    while stack:
+        prefix, node = stack.pop()
+        for key, value in node.items():
+            if not prefix and key in below:
+                continue
+            if isinstance(value, dict):
+                stack.append((f"{prefix}{key}.", value))
+            else:
+                yield _utf8(prefix + key), _text(value)
 
 
 def rows(record: object, level: Level, wanted: frozenset[str] | None = None) -> Iterator[tuple[str, tuple[int, ...], dict[str, str | None]]]:
