@@ -130,21 +130,36 @@ INTER = {
 }
 
 
+def _own(scenario, name, value):
+    """Values of a scenario that no other scenario has: another prefix, or one more word in all of its names."""
+    return f"{value} Z{list(INTER).index(scenario)}" if name == "NOM" else f"{scenario}{value}"
+
+
+@pytest.fixture(scope="module")
+def inter(spark):
+    rows = []
+    for s, (change, anchors, *_) in INTER.items():
+        files = {"base": BASE, "target": OTHER | change} | {f"anchor{i}": a for i, a in enumerate(anchors)}
+        rows += [(f"{s}/{f}", n, _own(s, n, v)) for f, vs in files.items() for n, v in vs.items() if v]
+    checks = S.inter_checks(spark.createDataFrame(rows, "dossier_id STRING, name STRING, value STRING")).collect()
+    spine = spark.createDataFrame([(f"{s}/target",) for s in INTER] + [("nothing",)], "dossier_id STRING")
+    again = spark.createDataFrame(checks, "dossier_id STRING, check STRING, score DOUBLE, critical BOOLEAN")
+    rolled = S.roll_up(spine, again, S.INTER_CHECKS).withColumn("status", S.inter_status()).collect()
+    return {(r.dossier_id, r.check): r.score for r in checks}, {r.dossier_id: r for r in rolled}
+
+
 @pytest.mark.parametrize("name", INTER)
-def test_inter_scenarios(spark, name):
-    change, anchors, score, per_check, status = INTER[name]
-    files = {"base": BASE, "target": OTHER | change} | {f"anchor{i}": a for i, a in enumerate(anchors)}
-    prof = spark.createDataFrame([(f, n, v) for f, vs in files.items() for n, v in vs.items() if v], "dossier_id STRING, name STRING, value STRING")
-    checks = {r.check: r.score for r in S.inter_checks(prof).filter("dossier_id = 'target'").collect()}
+def test_inter_scenarios(inter, name):
+    checks, rolled = inter
+    change, _, score, per_check, status = INTER[name]
     if score is None:  # a graded name: by the similarity itself
-        like = similarity(change["NOM"], BASE["NOM"])
+        like = similarity(_own(name, "NOM", change["NOM"]), _own(name, "NOM", BASE["NOM"]))
         score = next((s for t, s in scores.TEXT_LADDER if like >= t), 1.0)
         per_check, status = {"CIN_MULTIPLE_NAMES": score}, "CRITICAL_NETWORK_ANOMALY" if score == 1 else "NETWORK_ANOMALY_DETECTED"
     for c in S.INTER_CHECKS:
-        assert checks.get(c) == per_check.get(c, 0.0), c
-    spine = spark.createDataFrame([("target",), ("nothing",)], "dossier_id STRING")
-    rolled = {r.dossier_id: r for r in S.roll_up(spine, S.inter_checks(prof), S.INTER_CHECKS).withColumn("status", S.inter_status()).collect()}
-    assert (rolled["target"].score, rolled["target"].status) == (score, status) and rolled["nothing"].status == "UNAVAILABLE"
+        assert checks.get((f"{name}/target", c)) == per_check.get(c, 0.0), c
+    got = rolled[f"{name}/target"]
+    assert (got.score, got.status) == (score, status) and rolled["nothing"].status == "UNAVAILABLE"
 
 
 def test_shared_identities_equal_brute_force(spark):
