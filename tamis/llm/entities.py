@@ -321,14 +321,16 @@ def link_names(names: DataFrame, givens: DataFrame, famille: str = "famille", va
     follows = _followers(units, total)
     vertex = lambda root, others="others": F.concat_ws("|", "famille", "facet", others, root)
     edges = follows.select(vertex("root").alias("a"), vertex("lead").alias("b"))
-    # the other tokens of one root may be misread as well
-    extra = units.filter("others <> ''").select("famille", F.concat_ws("|", "facet", "root").alias("of"), F.col("others").alias("root"), "n", "particle", "facet", F.col("root").alias("name"))
-    similar = similar_roots(extra, extra, ["famille", "of"]).filter("lead < root")
-    named = similar.withColumns({"facet": F.substring_index("of", "|", 1), "name": F.substring_index("of", "|", -1)})
-    edges = edges.unionByName(named.select(vertex("name", "root").alias("a"), vertex("name", "lead").alias("b")))
+    extra = units.filter("others <> ''")
+    with_others = not extra.isEmpty()
+    if with_others:  # the other tokens of one root may be misread as well
+        extra = extra.select("famille", F.concat_ws("|", "facet", "root").alias("of"), F.col("others").alias("root"), "n", "particle")
+        similar = similar_roots(extra, extra, ["famille", "of"]).filter("lead < root")
+        named = similar.withColumns({"facet": F.substring_index("of", "|", 1), "name": F.substring_index("of", "|", -1)})
+        edges = edges.unionByName(named.select(vertex("name", "root").alias("a"), vertex("name", "lead").alias("b")))
     classes = consolidate(edges)
     entities = durable(units.withColumn("v", vertex("root")).join(classes, "v", "left").select(*key, "n", "particle", F.coalesce("r", "v").alias("entity")))
-    entities = _completed(entities)
+    entities = _completed(entities) if with_others else entities
     done = whole.join(entities, key).select("famille", "value", "entity", "legal", "kind")
     used = lambda c: F.mode(F.when(F.col(c) != "", F.col(c)), True).alias(f"own_{c}")
     owned = durable(entities.join(done.groupBy("entity").agg(used("legal"), used("kind")), "entity"))
