@@ -156,10 +156,14 @@ def test_places(spark):
     df = spark.createDataFrame(rows, "valeur STRING, place_id INT")
     got = {r.value: r.place_id for r in address_classes(df).collect()}
     assert len(got) == len(a) + len(b) + len(c) + len(e) + 1
-    assert len({got[v] for v in a}) == 1 and len({got[v] for v in b}) == 1
+    # without a town an address isn't put into one of two towns
+    assert got[a[0]] == got[a[2]] and len({got[v] for v in (a[0], a[1], a[3])}) == 3 and len({got[v] for v in b}) == 1
     assert len({got[x[0]] for x in (a, b, c, e)}) == 4
     pairs = class_pairs(address_classes(df), "place_id").collect()
-    assert len(pairs) == 6 + 1 and all(r.value_a < r.value_b for r in pairs)
+    assert len(pairs) == 1 + 1 and all(r.value_a < r.value_b for r in pairs)
+    # with one town it joins
+    alone = address_classes(df.filter("valeur NOT LIKE '%Aghbal%'"))
+    assert len({r.place_id for r in alone.collect() if r.value in a}) == 1 and class_pairs(alone, "place_id").count() == 6 + 1
     assert address_classes(df.limit(0)).count() == 0
 
 
